@@ -28,7 +28,7 @@ from kinfolk.llm.common import table, word_count, words
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
-RANGE_ROWS = 4096
+RANGE_ROWS = 512
 
 
 def _key(id_col: Column) -> Column:
@@ -107,7 +107,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, [5.0, 2.0, 1.0]::DOUBLE[][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight, {MAX_EPOCHS} * source_size::DOUBLE AS cap FROM s),
+w AS (SELECT *, list_extract([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE], (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1) AS weight, {MAX_EPOCHS} * source_size::DOUBLE AS cap FROM s),
 r AS (SELECT *, cap / weight AS ratio, row_number() OVER o AS k, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
   sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS opened, (sum(source_size) OVER ())::DOUBLE AS total FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
 l AS (SELECT *, (total - capped) / opened AS level FROM r),
