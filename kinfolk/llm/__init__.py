@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "secrets", "mixing", "sharding", "neardup", "packing", "toxicity", "substrings", "html")
+MODULES = ("quality", "secrets", "mixing", "sharding", "neardup", "packing", "toxicity", "substrings", "html", "neighbours")
 
 
 def _gather(name: str) -> dict:
