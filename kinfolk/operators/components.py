@@ -8,12 +8,18 @@ written to the shared scratch folder, which bounds the lineage.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfolk.functions.scratch import materialize
 
 MAX_STEPS = 60
+#: Edges that one task may contract at the end: two arrays of 16 MB.
+ONE_TASK_EDGES = 1_000_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -56,9 +62,47 @@ def star_labels(edges: DataFrame) -> DataFrame:
     return e.unionByName(roots).select(F.col("u").alias("id"), F.col("v").alias("component_id"))
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges and the smallest node of each one's component: labels sink and jump until still."""
+    node, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = inverse[: len(a)], inverse[len(a) :]
+    label = np.arange(len(node))
+    while True:
+        before = label.copy()
+        low = np.minimum(label[u], label[v])
+        np.minimum.at(label, label[u], low)
+        np.minimum.at(label, label[v], low)
+        label = label[label]
+        if (label == before).all():
+            return node, node[label]
+
+
+def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    node, label = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for pdf in batches:
+        node, label = _forest(np.concatenate([node, pdf.u.values]), np.concatenate([label, pdf.v.values]))
+    if len(node):
+        yield pd.DataFrame({"u": node, "v": label})
+
+
+def contracted_labels(edges: DataFrame) -> DataFrame:
+    """As ``star_labels``, for few edges: partitions contract theirs to forests, one task contracts these."""
+    e = edges.where("src <> dst").select(F.col("src").cast("bigint").alias("u"), F.col("dst").cast("bigint").alias("v"))
+    schema = "u bigint, v bigint"
+    out = e.mapInPandas(_contract, schema).coalesce(1).mapInPandas(_contract, schema)
+    return out.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+
+
+def component_labels(edges: DataFrame) -> DataFrame:
+    """Labels of all nodes with edges. Up to ``ONE_TASK_EDGES`` edges, which are counted, one task ends the
+    contraction; beyond, star steps over tables do it all. Both give the same labels."""
+    edges = materialize(edges.where("src is not null and dst is not null").select("src", "dst"))
+    return contracted_labels(edges) if edges.count() <= ONE_TASK_EDGES else star_labels(edges)
+
+
 def components(vertices: DataFrame, edges: DataFrame, id_col: str = "face_id") -> DataFrame:
     """Every vertex with the smallest id of its component; a vertex without edges is its own component."""
-    labels = star_labels(edges).withColumnRenamed("id", id_col)
+    labels = component_labels(edges).withColumnRenamed("id", id_col)
     return (
         vertices.select(id_col)
         .join(labels, id_col, "left")
