@@ -8,15 +8,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
-@pandas_udf("array<double>")
+@pandas_udf(T.ArrayType(T.DoubleType()))
 def _floats(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else np.frombuffer(b, "<f4").astype("f8"))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def encode_floats(v: pd.Series) -> pd.Series:
     """Base64 text of an array of numbers in single precision."""
     return v.map(lambda x: None if x is None else base64.b64encode(np.asarray(x, "<f4").tobytes()).decode())

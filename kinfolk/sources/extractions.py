@@ -29,6 +29,9 @@ def _face(f: Column) -> Column:
     kind = F.coalesce(F.schema_of_variant(F.try_variant_get(f, "$.embedding", "variant")), F.lit("MISSING"))
     text = F.try_variant_get(f, "$.embedding", "string")
     numbers = F.try_variant_get(f, "$.embedding", "array<double>")
+    kinds = F.transform(F.try_variant_get(f, "$.embedding", "array<variant>"), lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID")))
+    odd = F.exists(kinds, lambda k: k.rlike("^(STRING|BOOLEAN|ARRAY|OBJECT)"))
+    numbers = F.when(~odd, F.transform(numbers, lambda x: F.coalesce(x, F.lit(0.0))))  # a null counts as zero
     array = F.when(kind == "VOID", F.array().cast("array<double>")).when(kind.startswith("ARRAY"), numbers)
     return F.struct(
         F.try_variant_get(f, "$.bbox", "array<double>").alias("bbox"),
