@@ -10,8 +10,9 @@
    signatures; pairs far below the threshold (over five standard deviations) go.
 4. *Confirmation* on the full sets: exact intersection and union sizes.
 5. *Rest.* In buckets that still hold unlinked members, all remaining cross pairs are estimated in
-   blocks of bounded size, and those near the threshold are confirmed too, so no link is lost.
-6. Links are contracted to components by star steps over tables, never in one task or on the driver.
+   cells of two blocks of bounded size. Sets of members in pairs near the threshold are brought to the cell, which
+   confirms the pairs in place and emits links only: no pair is lost and none becomes a row.
+6. Links are contracted to components, by star steps over tables unless they are few.
 
 Cases: null and wordless texts have an empty set and stay single; repeated rows share a class; a group
 of copies of any size is one class and adds one row; very long texts are hashed whole; an empty table
@@ -21,6 +22,7 @@ gives an empty result; other input columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,11 +34,11 @@ from pyspark.sql import functions as F
 from kinfolk.functions.scratch import materialize
 from kinfolk.llm import common as C
 from kinfolk.llm.common import table
-from kinfolk.operators.components import star_labels
+from kinfolk.operators.components import component_labels
 
 MINIMA, BANDS, ROWS, BITS = 128, 32, 4, 4
 LEADER_ROUNDS = 2
-BLOCK = 256
+BLOCK = 512
 #: Standard deviation of the estimate at the threshold, times five and a half, is some 0.2.
 MARGIN = 0.2
 BROADCAST_IDS = 2_000_000
@@ -194,16 +196,88 @@ def _estimated(pairs: DataFrame, lows: DataFrame, cut: float) -> DataFrame:
     return p.mapInPandas(lambda it: _near(it, cut), "a bigint, b bigint")
 
 
-def _block_pairs(pdf: pd.DataFrame, cut: float) -> pd.DataFrame:
-    """Pairs of two blocks of a bucket, of unlike labels, that the estimate lets pass."""
-    i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
-    x, y = pdf[pdf.block == i], pdf[pdf.block == j]
-    est = collision_corrected(equal_lows(_words_of(x.low)[:, None, :], _words_of(y.low)[None, :, :]))
-    near = (est >= cut) & (x.label.values[:, None] != y.label.values[None, :])
-    r, c = np.nonzero(near)
-    a, b = x.id.values[r], y.id.values[c]
-    out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-    return out[out.a != out.b].drop_duplicates()
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of the rows of one key each, from batches in which equal keys stand together."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        k = pdf[keys].to_numpy()
+        edges = np.r_[0, np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1]
+        for x, y in zip(edges[:-1], edges[1:]):
+            yield pdf.iloc[x:y]
+        rest = pdf.iloc[edges[-1] :]
+    if rest is not None:
+        yield rest
+
+
+CELL = ["band", "i", "j"]
+CELLS = "band bigint, i int, j int, pos int, id bigint, pairs binary"
+
+
+def _cells(batches: Iterator[pd.DataFrame], cut: float) -> Iterator[pd.DataFrame]:
+    """Of each cell (two blocks of a bucket) the members in pairs to confirm; the first row holds the pairs.
+
+    A pair is taken if its labels differ, the estimate lets it pass and the bucket is the first that the two share.
+    """
+    out: list[tuple] = []
+    for pdf in _runs(batches, CELL):
+        band, i, j = int(pdf.band.iloc[0]), int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
+        x = pdf if i == j else pdf[pdf.block == i]
+        y = pdf if i == j else pdf[pdf.block == j]
+        if not len(x) or not len(y):
+            continue
+        unlike = x.label.values[:, None] != y.label.values[None, :]
+        if i == j:
+            unlike = np.triu(unlike, 1)
+        r, c = np.nonzero(unlike)
+        if not len(r):
+            continue
+        lx, ly = _words_of(x.low), _words_of(y.low)
+        bx, by = np.stack(x.bands.to_list()), np.stack(y.bands.to_list())
+        near = []
+        for k in range(0, len(r), 1 << 16):
+            p, q = r[k : k + (1 << 16)], c[k : k + (1 << 16)]
+            own = collision_corrected(equal_lows(lx[p], ly[q])) >= cut
+            p, q = p[own], q[own]
+            same = bx[p] == by[q]
+            first = bx[p, same.argmax(axis=1)] == band
+            near.append(np.stack([p[first], q[first]], 1))
+        pairs = np.concatenate(near)
+        if len(pairs):
+            a, pa_ = np.unique(pairs[:, 0], return_inverse=True)
+            b, pb_ = np.unique(pairs[:, 1], return_inverse=True)
+            ids = [*x.id.values[a], *y.id.values[b]]
+            packed = np.stack([pa_, pb_ + len(a)], 1).astype("<u2").tobytes()
+            out += [(band, i, j, n, int(v), packed if n == 0 else None) for n, v in enumerate(ids)]
+        if len(out) > 10_000:
+            yield pd.DataFrame(out, columns=[*CELL, "pos", "id", "pairs"])
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=[*CELL, "pos", "id", "pairs"])
+
+
+def _confirm_cells(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    for pdf in _runs(batches, CELL):
+        pdf = pdf.sort_values("pos")
+        ids = pdf.id.values
+        sets = [np.frombuffer(h, np.uint64) for h in pdf.hashes]
+        size = np.array([len(s) for s in sets])
+        pairs = np.frombuffer(pdf.pairs.iloc[0], "<u2").reshape(-1, 2).astype(np.int64)
+        pairs = pairs[np.minimum(size[pairs[:, 0]], size[pairs[:, 1]]) * 100 >= percent * np.maximum(size[pairs[:, 0]], size[pairs[:, 1]])]
+        found: list[tuple] = []
+        for a in np.unique(pairs[:, 0]):
+            others = pairs[pairs[:, 0] == a, 1]
+            every = np.concatenate([sets[b] for b in others])
+            at = np.searchsorted(sets[a], every)
+            at[at == size[a]] = 0
+            heads = np.r_[0, np.cumsum(size[others])[:-1]]
+            both = np.add.reduceat((sets[a][at] == every).astype(np.int64), heads)
+            ok = 100 * both >= percent * (size[a] + size[others] - both)
+            found += [(ids[a], ids[b]) for b in others[ok]]
+        if found:
+            yield pd.DataFrame(found, columns=["src", "dst"]).astype("int64")
 
 
 def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -248,18 +322,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             lead = members.groupBy("band").agg(F.min(F.struct(order.alias("o"), "id", "label")).alias("m")).select("band", F.col("m.id").alias("lead"), F.col("m.label").alias("lead_label"))
             pairs = members.join(lead, "band").where("label <> lead_label").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
             near = _estimated(pairs.distinct(), lows, cut)
+            near = materialize(near if tried is None else near.join(tried, ["a", "b"], "left_anti"))
+            tried = near
+            found = confirm(near, sets, percent)
         else:
             sized = members.join(members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "band")
-            sized = sized.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(lows, "id")
+            sized = sized.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(classes.select("id", "low", "bands"), "id")
             both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda q: F.struct(F.least("block", q).alias("i"), F.greatest("block", q).alias("j")))
-            grid = sized.withColumn("p", F.explode(both)).select("band", "id", "label", "low", "block", "p.i", "p.j")
-            near = grid.groupBy("band", "i", "j").applyInPandas(lambda pdf: _block_pairs(pdf, cut), "a bigint, b bigint").distinct()
-        near = near if tried is None else near.join(tried, ["a", "b"], "left_anti")
-        near = materialize(near)
-        tried = near if tried is None else tried.unionByName(near)
-        found = materialize(confirm(near, sets, percent))
+            grid = sized.withColumn("p", F.explode(both)).select("band", "p.i", "p.j", "id", "label", "low", "bands", "block")
+            cells = grid.repartition(*CELL).sortWithinPartitions(*CELL).mapInPandas(lambda it: _cells(it, cut), CELLS)
+            held = materialize(cells).join(sets, "id")
+            found = held.repartition(*CELL).sortWithinPartitions(*CELL).mapInPandas(lambda it: _confirm_cells(it, percent), "src bigint, dst bigint")
+        found = materialize(found)
         links = found if links is None else links.unionByName(found)
-        labels = materialize(star_labels(links))
+        labels = materialize(component_labels(links))
     by_class = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
