@@ -16,26 +16,31 @@ the order is free and changes no result.
 from __future__ import annotations
 
 import math
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinfolk.functions.scratch import materialize
-from kinfolk.llm.common import table
+from kinfolk.llm.common import table, text_bytes
 
 WINDOW = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a Python worker keeps at hand.
-WORD_CACHE = 300_000
+WORD_CACHE = 700_000
+LONGEST_WORD = 10_000
+BLOCK_BYTES = 4 << 20
 #: Pieces of the largest lengths that a subset-sum looks at, so that its cost does not grow with the counts.
 COPIES_PER_LENGTH = 8
 CELL_ROWS = 512
@@ -43,6 +48,8 @@ CELL_ROWS = 512
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    # threads of the library would take cores that other tasks hold
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -54,47 +61,99 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-_SPACES = dict.fromkeys(map(ord, "\t\n\r"), " ")
+#: A letter, marks after it and the white space that ends the word. The pre-tokenizer parts letters and marks anyway.
+_WORD_END = r"(\pL)([.,;:!?|%$#*&()]+)(\s|$)"
 
 
 class WordTokenizer:
-    """Ids of texts, word by word: this vocabulary's pre-tokenizer never joins across blanks, tabs and line ends.
+    """Ids of texts, word by word: this vocabulary's pre-tokenizer never joins across ASCII white space.
 
-    Ids of frequent words are kept. A text that holds a special token's mark is tokenized as it stands.
+    Case and marks at word ends are taken off first, as the vocabulary does itself, which leaves fewer
+    distinct words. Each is tokenized once and its ids are kept for later texts; the ids of the texts
+    are then gathered as arrays. A text that holds a special token's mark is tokenized as it stands.
     """
 
     def __init__(self, path: str):
         self.tok = _tokenizer(path)
         self.marks = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self._forget()
 
-    def ids(self, text: str) -> np.ndarray:
-        if any(m in text for m in self.marks):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = [w for w in text.translate(_SPACES).split(" ") if w]
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.store, self.sizes = array("H"), array("H")
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of words in the store; words not seen before are tokenized and added."""
+        if len(self.known) > WORD_CACHE:
+            self._forget()
         known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) > WORD_CACHE:
-                known = self.known = {}
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-                known[w] = tuple(e.ids)
-        out: list[int] = []
-        for w in words:
-            out += known[w]
-        return np.array(out, np.uint32)
+        new = [w for w in words if w not in known]
+        for k in range(0, len(new), 10_000):
+            part = new[k : k + 10_000]
+            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
+                ids = e.ids
+                known[w] = len(self.sizes)
+                self.sizes.append(len(ids))
+                self.store.extend(ids)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def block(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a column without nulls."""
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), _WORD_END, r"\1 \2\3")
+        split = pc.ascii_split_whitespace(plain)
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        # a word of more ids than the store's sizes can hold is no word: such texts go the plain way
+        long = {w for w in words if len(w) > LONGEST_WORD}
+        index = self._numbers([w if w not in long else "" for w in words])[coded.indices.to_numpy(zero_copy_only=False)]
+        size = np.frombuffer(self.sizes, np.uint16).astype(np.int64) if len(self.sizes) else np.zeros(0, np.int64)
+        first = np.cumsum(size) - size
+        store = np.frombuffer(self.store, np.uint16) if len(self.store) else np.zeros(0, np.uint16)
+        n = size[index]
+        ends = np.cumsum(n)
+        flat = store[np.repeat(first[index] - (ends - n), n) + np.arange(int(n.sum()))].astype(np.uint32)
+        at = np.r_[0, ends][np.cumsum(counts)]
+        out = np.split(flat, at[:-1]) if len(at) else []
+        plainly = set()
+        for m in self.marks:
+            plainly.update(np.flatnonzero(pc.match_substring(texts, m).to_numpy(zero_copy_only=False)).tolist())
+        if long:
+            plainly.update(i for i, ws in enumerate(split) if any(w in long for w in ws.as_py()))
+        for i in plainly:
+            out[i] = np.array(self.tok.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return out
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.block(pa.array([text], pa.large_string()))[0]
+
+
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The worker's tokenizer, which keeps its words from task to task."""
+    return WordTokenizer(path)
 
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
+def _stretches(offs: np.ndarray):
+    """Runs of texts of about ``BLOCK_BYTES``."""
+    i = 0
+    while i < len(offs) - 1:
+        j = min(len(offs) - 1, max(i + 1, int(np.searchsorted(offs, offs[i] + BLOCK_BYTES, "right")) - 1))
+        yield i, j
+        i = j
+
+
 def _cut(batches: Iterator[pa.RecordBatch], path: str, window: int, keep_ids: bool):
-    tok = WordTokenizer(path)
+    tok = word_tokenizer(path)
     for b in batches:
         rows: list[list] = [[], [], [], [], [], []]
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-            ids = np.append(tok.ids(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
+        names, texts = b.column(0).to_pylist(), b.column(1).fill_null("").cast(pa.large_string())
+        _, offs = text_bytes(texts)
+        for doc_id, ids in ((names[i + k], ids) for i, j in _stretches(offs) for k, ids in enumerate(tok.block(texts[i:j]))):
+            ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
             for start in range(0, len(ids), window):
                 piece = ids[start : start + window]
                 raw = piece.tobytes()

@@ -139,10 +139,14 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"))
+def op9_digest(docs: DataFrame) -> DataFrame:
+    """Counts and digests of the spans of each document."""
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == KINDS.index(k))).cast("bigint").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return scan(docs).select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_digest(table(spark, sf_dir, "documents"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
