@@ -193,10 +193,17 @@ def template(pages: list[Page], classes: list[list[str]]) -> tuple[list[str], di
     return root, nested
 
 
-def kept_slots(pages: list[Page], root: list[str]) -> set[int] | None:
-    """Slots (numbers of the root token before them) with the pages' own text; None: any slot may hold it."""
+def _block(path: tuple) -> tuple:
+    """The path down to its last block element."""
+    k = max((i + 1 for i, (t, _) in enumerate(path) if t in BLOCKS), default=0)
+    return path[:k]
+
+
+def kept_slots(pages: list[Page], root: list[str]) -> set | None:
+    """Slots (numbers of the root token before them) with the pages' own text, and the paths of blocks that
+    begin such text, whose fixed words belong to it; None: any slot may hold it."""
     place = {t: i for i, t in enumerate(root)}
-    texts, links, size, main = defaultdict(set), Counter(), Counter(), set()
+    texts, blocks, links, size, main = defaultdict(set), defaultdict(set), Counter(), Counter(), set()
     for p in pages:
         k, slot = 0, -1
         for node in p.nodes:
@@ -208,15 +215,16 @@ def kept_slots(pages: list[Page], root: list[str]) -> set[int] | None:
             if is_main(node.path):
                 main.add(slot)
             texts[slot].add(node.text.strip())
+            blocks[slot].add(_block(node.path))
             size[slot] += len(node.text)
             links[slot] += len(node.text) * any(t == "a" for t, _ in node.path)
     if main:
         return main
     own = {s for s in texts if len(texts[s]) > 1 and 2 * links[s] <= size[s]}
-    return own or None
+    return own | {b for s in own for b in blocks[s]} or None
 
 
-def page_text(page: Page, root: list[str], slots: set[int] | None) -> str:
+def page_text(page: Page, root: list[str], slots: set | None) -> str:
     place = {t: i for i, t in enumerate(root)}
     inside = any(is_main(n.path) and not is_furniture(n.path) and n.text.strip() for n in page.nodes)
     out: list[list[str]] = []
@@ -226,7 +234,7 @@ def page_text(page: Page, root: list[str], slots: set[int] | None) -> str:
             slot = place.get(page.tokens[k], slot)
             k += 1
         fresh |= node.block
-        if is_furniture(node.path) or (inside and not is_main(node.path)) or (not inside and slots is not None and slot not in slots):
+        if is_furniture(node.path) or (inside and not is_main(node.path)) or (not inside and slots is not None and slot not in slots and _block(node.path) not in slots):
             continue
         if fresh or not out:
             out.append([])
@@ -239,7 +247,7 @@ def page_text(page: Page, root: list[str], slots: set[int] | None) -> str:
 def extract_group(htmls: list[str]) -> list[str]:
     pages = [parse(h or "") for h in htmls]
     root: list[str] = []
-    slots: set[int] | None = None
+    slots: set | None = None
     if len(pages) > 1:
         classes = equivalence_classes(pages)
         root, nested = template(pages, classes)
