@@ -43,7 +43,7 @@ RULES = (
     Rule("symbols", "n_symbols / n_words", 0.0, 0.1),
     Rule("emphasis", "n_exclaims / n_words", 0.0, 0.2),
     Rule("stop_words", "n_stop_words / n_words", 0.04, 1.0),
-    Rule("repeated_lines", "n_dup_lines / n_lines", 0.0, 0.3),
+    Rule("repeated_lines", "n_dup_lines / n_lines", 0.0, 0.5),
     Rule("line_length", "n_words / n_lines", 2.0, 5000.0),
 )
 
