@@ -1,8 +1,9 @@
 """All pairs with cosine similarity at a threshold or above (JOIN1; rules S1-S4, Q1).
 
 The join is exact, so its work is n * n / 2 inner products whatever the plan. ``blocked`` deals vectors to
-blocks of at most some ``BLOCK`` rows by a hash and multiplies each pair of blocks once, as matrices in double precision; a task
-holds two blocks, and block pairs spread over all executors. ``expr`` is the same join in expressions.
+blocks by a hash and multiplies each pair of blocks once, as matrices in double precision. A vector is sent to
+each block pair of its block, so blocks are as large as a task can well hold (some ``BLOCK`` rows), and smaller only where
+that leaves too few block pairs to occupy all cores. ``expr`` is the same join in expressions.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ from pyspark.sql import functions as F
 
 from kinfolk.functions.vectors import as_double, dot, normalise
 
-BLOCK = 2048
+BLOCK = 8192
+#: Rows of a block below which splitting it further costs more than it spreads.
+SMALL_BLOCK = 512
+STRIP = 1024
 
 
 def common_dimension(faces: DataFrame) -> int:
@@ -45,13 +49,25 @@ def _multiply(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     right = left if i == j else pdf[pdf.block == j]
     if not len(left) or not len(right):
         return pd.DataFrame({"src": [], "dst": [], "sim": []})
-    sims = _unit(left.embedding) @ _unit(right.embedding).T
-    hit = sims >= threshold  # false for NaN
+    u = _unit(left.embedding)
+    v = u if i == j else _unit(right.embedding)
     a, b = left.face_id.values, right.face_id.values
-    if i == j:
-        hit &= a[:, None] < b[None, :]
-    r, c = np.nonzero(hit)
-    return pd.DataFrame({"src": np.minimum(a[r], b[c]), "dst": np.maximum(a[r], b[c]), "sim": sims[r, c]})
+    found = []
+    for k in range(0, len(a), STRIP):  # strips bound the product in memory
+        sims = u[k : k + STRIP] @ v.T
+        hit = sims >= threshold  # false for NaN
+        own = a[k : k + STRIP]
+        if i == j:
+            hit &= own[:, None] < b[None, :]
+        r, c = np.nonzero(hit)
+        found.append(pd.DataFrame({"src": np.minimum(own[r], b[c]), "dst": np.maximum(own[r], b[c]), "sim": sims[r, c]}))
+    return pd.concat(found, ignore_index=True)
+
+
+def block_count(rows: int, cores: int, block: int = BLOCK) -> int:
+    """Enough blocks that none passes ``block`` rows and, if rows allow, that block pairs are twice the cores."""
+    wanted = math.ceil(math.sqrt(4 * cores))
+    return max(1, math.ceil(rows / block), min(wanted, math.ceil(rows / min(SMALL_BLOCK, block))))
 
 
 def similar_pairs(faces: DataFrame, threshold: float, method: str = "blocked", block: int = BLOCK) -> DataFrame:
@@ -63,7 +79,7 @@ def similar_pairs(faces: DataFrame, threshold: float, method: str = "blocked", b
         pairs = a.join(b, F.col("a.face_id") < F.col("b.face_id"))
         pairs = pairs.select(F.col("a.face_id").alias("src"), F.col("b.face_id").alias("dst"), dot(F.col("a.u"), F.col("b.u")).alias("sim"))
         return pairs.where((F.col("sim") >= threshold) & ~F.isnan("sim"))
-    blocks = max(1, math.ceil(f.count() / block))
+    blocks = block_count(f.count(), faces.sparkSession.sparkContext.defaultParallelism, block)
     dealt = f.withColumn("block", F.pmod(F.xxhash64("face_id"), F.lit(blocks)).cast("int"))
     grid = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda q: F.struct(F.least("block", q).alias("i"), F.greatest("block", q).alias("j")))
     dealt = dealt.withColumn("p", F.explode(grid)).select("face_id", "embedding", "block", "p.i", "p.j")
