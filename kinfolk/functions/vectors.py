@@ -20,14 +20,18 @@ def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def _divided(v: Column, divisor: Column) -> Column:
+    """``v`` by a divisor that is computed once for the row: inside a lambda it would be once for each component."""
+    scaled = F.transform(F.array(divisor), lambda d: F.transform(as_double(v), lambda x: x / d))
+    return F.when(v.isNotNull(), F.element_at(scaled, 1))
+
+
 def normalise(v: Column) -> Column:
     """Unit vector in double precision; a zero vector stays as it is."""
     size = norm(as_double(v))
-    divisor = F.when(size == 0, F.lit(1.0)).otherwise(size)
-    return F.transform(as_double(v), lambda x: x / divisor)
+    return _divided(v, F.when(size == 0, F.lit(1.0)).otherwise(size))
 
 
 def normalise_clipped(v: Column, least: float = 1e-10) -> Column:
     """Unit vector with the divisor held at ``least`` or more, as detectors emit it."""
-    divisor = F.greatest(norm(as_double(v)), F.lit(least))
-    return F.transform(as_double(v), lambda x: x / divisor)
+    return _divided(v, F.greatest(norm(as_double(v)), F.lit(least)))

@@ -50,7 +50,8 @@ def _components(f: DataFrame) -> DataFrame:
 
 
 def normalize_vectors(f: DataFrame) -> DataFrame:  # MAP7, MAP8
-    u, c = normalise(F.col("embedding")), normalise_clipped(F.col("embedding"))
+    f = f.select("face_id", normalise(F.col("embedding")).alias("u"), normalise_clipped(F.col("embedding")).alias("c"))
+    u, c = F.col("u"), F.col("c")
     return f.select("face_id", F.round(u[0], 6).alias("first"), F.round(F.sqrt(dot(u, u)), 6).alias("norm"), F.round(c[1], 6).alias("second"))
 
 
