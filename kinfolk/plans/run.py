@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +18,15 @@ from kinfolk.functions.paths import walk_order
 from kinfolk.functions.ranking import with_position
 from kinfolk.functions.scratch import materialize
 from kinfolk.operators.components import components
+from kinfolk.operators.describe import ChatEndpoint, describe
+from kinfolk.operators.extract import extract, faces_and_errors
 from kinfolk.operators.persons import person_photos, persons
 from kinfolk.operators.similarity import similar_pairs, split_by_dimension
 from kinfolk.plans.report import build_report
+from kinfolk.plans.serve import serve
 from kinfolk.sources.extractions import read_extractions
-from kinfolk.sources.images import scan_images
-from kinfolk.sources.stored import load_report
+from kinfolk.sources.images import read_images, scan_images
+from kinfolk.sources.stored import load_settings
 
 log = logging.getLogger(__name__)
 THRESHOLD = 0.5
@@ -49,54 +55,96 @@ def group_faces(faces: DataFrame, threshold: float = THRESHOLD, method: str = "b
     return Grouping(fit, edges, comps, persons(fit, comps), odd)
 
 
-def run_records(spark: SparkSession, images: DataFrame, records: str, output_dir: str, threshold: float = THRESHOLD, input_dir: str = "", link: bool = True) -> DataFrame | None:
-    """Group the faces of a detector's records and write the results; None, and nothing written, without faces."""
+def _write(spark: SparkSession, images: DataFrame, found: DataFrame, errors: DataFrame, output_dir: str, threshold: float, input_dir: str, link: bool, gpu: bool, describer) -> DataFrame | None:
     started = datetime.now(UTC)
     if images.isEmpty():
         log.warning("no images")
         return None
-    got = read_extractions(spark, records)
-    faces = materialize(number_faces(got.faces))
+    faces = materialize(number_faces(found))
     if faces.isEmpty():
         log.warning("no faces")
         return None
     g = group_faces(faces, threshold)
     people = materialize(g.persons)
-    errors = got.file_errors.unionByName(g.file_errors)
+    errors = errors.unionByName(g.file_errors)
     sinks.clean_output(output_dir)
-    links = sinks.manifest(people, person_photos(g.components.join(g.faces, "face_id")))
-    sinks.write_manifest(links, output_dir)
-    for failure in sinks.link_photos(links, output_dir) if link else ():
-        log.warning("not linked: %s", failure)
-    report = build_report(images, faces, people, errors, started_at=started, finished_at=datetime.now(UTC), input_dir=input_dir, output_dir=output_dir, threshold=threshold)
-    sinks.save_report(report, output_dir)
+    with sinks.run_log(output_dir):
+        links = sinks.manifest(people, person_photos(g.components.join(g.faces, "face_id")))
+        sinks.write_manifest(links, output_dir)
+        for failure in sinks.link_photos(links, output_dir) if link else ():
+            log.warning("not linked: %s", failure)
+        if describer is not None:
+            thumbs = spark.read.format("binaryFile").load([r.thumbnail for r in people.where("thumbnail <> ''").select("thumbnail").toLocalIterator()])
+            named = thumbs.select(F.regexp_replace("path", "^file:", "").alias("thumbnail"), "content")
+            people = materialize(describe(people, describer, named))
+        report = build_report(
+            images, faces, people, errors, started_at=started, finished_at=datetime.now(UTC), input_dir=input_dir, output_dir=output_dir, threshold=threshold, gpu=gpu
+        )
+        sinks.save_report(report, output_dir)
+        log.info("%s", sinks.summary(report))
     return report
 
 
+def run_records(
+    spark: SparkSession, images: DataFrame, records: str, output_dir: str, threshold: float = THRESHOLD, input_dir: str = "", link: bool = True, describer=None
+) -> DataFrame | None:
+    """Group the faces of a detector's records and write the results; None, and nothing written, without faces."""
+    got = read_extractions(spark, records)
+    return _write(spark, images, got.faces, got.file_errors, output_dir, threshold, input_dir, link, False, describer)
+
+
+def run_images(
+    spark: SparkSession, input_dir: str, factory: Callable, output_dir: str, threshold: float = THRESHOLD, link: bool = True, gpu: bool = False, describer=None
+) -> DataFrame | None:
+    """Read images, detect faces with ``factory`` in the executors, group them and write the results."""
+    images = read_images(spark, input_dir, content=True).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    faces, errors = faces_and_errors(materialize(extract(images, factory)))
+    return _write(spark, images.select("path"), faces, errors, output_dir, threshold, input_dir, link, gpu, describer)
+
+
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
-    p = argparse.ArgumentParser("kinfolk", description="Group photos by the people in them.")
+    p = argparse.ArgumentParser("kinfolk", description="Group photos by the people in them. How many work at once is Spark's setting.")
     p.add_argument("--input", help="folder of images")
     p.add_argument("--records", help="JSON lines of a detector for these images")
+    p.add_argument("--detector", help="module:name of a detector factory, instead of records")
+    p.add_argument("--gpu", action="store_true", help="pass gpu=True to the factory")
+    p.add_argument("--max-dim", type=int, default=1920, help="longest side that the detector gets, 0 for any; passed to the factory")
     p.add_argument("--output", required=True)
     p.add_argument("--threshold", type=float, default=THRESHOLD)
     p.add_argument("--no-links", action="store_true", help="write the manifest only")
-    p.add_argument("--view", action="store_true", help="print the report of an earlier run and stop")
+    p.add_argument("--describe", help="prompt for descriptions by the service of --config")
+    p.add_argument("--config", default="config.json")
+    p.add_argument("--serve", action="store_true", help="serve the results afterwards")
+    p.add_argument("--view", action="store_true", help="serve the results of an earlier run and do nothing else")
+    p.add_argument("--port", type=int, default=8080)
     return p.parse_args(argv)
 
 
+def _describer(a: argparse.Namespace) -> ChatEndpoint | None:
+    settings = load_settings(a.config) if a.describe else None
+    return ChatEndpoint(settings.endpoint, settings.model, a.describe, settings.max_tokens) if settings else None
+
+
 def main(argv: list[str] | None = None) -> int:
     a = arguments(argv)
-    spark = SparkSession.builder.appName("kinfolk").getOrCreate()
     if a.view:
-        print(sinks.summary(load_report(spark, f"{a.output}/{sinks.REPORT_FILE}")))
+        serve(a.output, a.port)
         return 0
-    if not (a.input and a.records):
-        print("--input and --records are needed")
+    if not a.input or bool(a.records) == bool(a.detector):
+        print("--input and one of --records and --detector are needed")
         return 2
-    report = run_records(spark, scan_images(spark, a.input), a.records, a.output, a.threshold, a.input, not a.no_links)
+    spark = SparkSession.builder.appName("kinfolk").getOrCreate()
+    if a.detector:
+        module, name = a.detector.split(":")
+        factory = partial(getattr(importlib.import_module(module), name), gpu=a.gpu, max_dim=a.max_dim)
+        report = run_images(spark, a.input, factory, a.output, a.threshold, not a.no_links, a.gpu, _describer(a))
+    else:
+        report = run_records(spark, scan_images(spark, a.input), a.records, a.output, a.threshold, a.input, not a.no_links, _describer(a))
     if report is None:
         return 1
     print(sinks.summary(report))
+    if a.serve:
+        serve(a.output, a.port)
     return 0
 
 

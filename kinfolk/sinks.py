@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 import re
 import shutil
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 from kinfolk.functions.paths import basename
 
+log = logging.getLogger("kinfolk")
+LOG_FILE = "processing.log"
 REPORT_FILE = "report.json"
 THUMBNAIL_FILE = "thumb.jpg"
 
@@ -28,6 +32,21 @@ def clean_output(folder: str) -> None:
             os.remove(path)
 
 
+@contextmanager
+def run_log(folder: str):
+    """What is logged meanwhile also goes to a file of the run, which starts anew."""
+    to = logging.FileHandler(os.path.join(folder, LOG_FILE), mode="w")
+    level = log.level
+    log.addHandler(to)
+    log.setLevel(logging.INFO)
+    try:
+        yield
+    finally:
+        log.setLevel(level)
+        log.removeHandler(to)
+        to.close()
+
+
 def link_name(path: Column, clashes: Column) -> Column:
     """Name of a photo in its person's folder; one that clashes, or is kept for the thumbnail, gets a hash of its path."""
     name = basename(path)

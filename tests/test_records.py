@@ -3,6 +3,7 @@ import json
 import os
 import struct
 from datetime import timedelta
+from urllib import error, request
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from kinfolk.functions.duration import duration_text
 from kinfolk.operators.describe import describe
 from kinfolk.operators.extract import extract, faces_and_errors
 from kinfolk.plans import report as R
-from kinfolk.plans.run import main, run_records
+from kinfolk.plans.run import main, run_images, run_records
+from kinfolk.plans.serve import start
 from kinfolk.sources.extractions import parse_extractions, read_documents
 from kinfolk.sources.images import read_images, read_path_list, scan_images
 from kinfolk.sources.stored import load_report, load_settings
@@ -166,13 +168,36 @@ def test_whole_run(spark, tmp_path, capsys):
     assert R.person_detail(saved, 9).count() == 0
     (out / "keep.txt").write_text("mine")
     sinks.clean_output(str(out))
-    assert sorted(os.listdir(out)) == ["keep.txt", "manifest"]
+    assert sorted(os.listdir(out)) == ["keep.txt", "manifest", "processing.log"]
     empty = tmp_path / "none.jsonl"
     empty.write_text("")
     assert run_records(spark, images, str(empty), str(out)) is None
     assert main(["--output", str(out)]) == 2
 
 
+def test_run_from_images(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    for name, content in (("a.jpg", b"1"), ("b.JPG", b"2"), ("c.png", b"boom"), ("d.gif", b"3")):
+        (src / name).write_bytes(content)
+    report = run_images(spark, str(src), Detector(), str(out))
+    r = report.first()
+    assert (r.total_images, r.total_faces, r.total_persons, r.errors) == (3, 2, 1, 1)
+    assert sorted(os.listdir(out / "Person_1")) == ["a.jpg", "b.JPG"]
+    assert "images 3" in (out / "processing.log").read_text()
+    server = start(str(out), 0)
+    try:
+        at = f"http://127.0.0.1:{server.server_port}"
+        get = lambda p: request.urlopen(at + p).read()
+        assert b"Persons" in get("/") and json.loads(get("/api/report"))["total_faces"] == 2
+        assert get("/output/Person_1/a.jpg") == b"1"
+        for bad in ("/x", "/output/../in/a.jpg", "/output/none"):
+            with pytest.raises(error.HTTPError):
+                get(bad)
+    finally:
+        server.shutdown()
+
+
 def test_settings(tmp_path):
     (tmp_path / "c.json").write_text('{"chat": {"endpoint": "http://x", "model": "m", "max_tokens": 0}}')
     assert load_settings(str(tmp_path / "c.json")).max_tokens == 200
