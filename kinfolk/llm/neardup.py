@@ -285,12 +285,6 @@ def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return b.withColumn("label", F.coalesce("label", "id"))
 
 
-def _open(buckets: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one label."""
-    mixed = buckets.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    return buckets.join(mixed, "band")
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
 
@@ -303,7 +297,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = materialize(some.groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "low")).alias("m")).select("digest", "m.*").withColumnRenamed("doc_id", "id"))
     lows = classes.select("id", "low")
     banded = classes.select("id", F.explode("bands").alias("band"))
-    full = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    # tables of one row a band are written first: a join with them can then be split where a band is very frequent
+    full = materialize(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"))
     buckets = materialize(banded.join(full, "band"))
     wanted = materialize(buckets.select("id").distinct())
     texts = docs.select(F.col("doc_id").alias("id"), "text")
@@ -314,20 +309,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     labels = docs.sparkSession.createDataFrame([], "id bigint, component_id bigint")
     tried = None
     for round_ in range(LEADER_ROUNDS + 1):
-        members = materialize(_open(_labelled(buckets, labels)))
-        if members.isEmpty():
+        members = materialize(_labelled(buckets, labels))
+        order = F.col("id") if round_ == 0 else F.xxhash64(F.col("id"), F.lit(round_))
+        stats = members.groupBy("band").agg(
+            F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"),
+            F.min_by(F.struct("id", "label"), F.struct(order, "id")).alias("m"),
+        )
+        stats = materialize(stats.where("lo <> hi").select("band", "blocks", F.col("m.id").alias("lead"), F.col("m.label").alias("lead_label")))
+        if stats.isEmpty():
             break
         if round_ < LEADER_ROUNDS:
-            order = F.col("id") if round_ == 0 else F.xxhash64(F.col("id"), F.lit(round_))
-            lead = members.groupBy("band").agg(F.min(F.struct(order.alias("o"), "id", "label")).alias("m")).select("band", F.col("m.id").alias("lead"), F.col("m.label").alias("lead_label"))
-            pairs = members.join(lead, "band").where("label <> lead_label").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+            pairs = members.join(stats, "band").where("label <> lead_label").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
             near = _estimated(pairs.distinct(), lows, cut)
             near = materialize(near if tried is None else near.join(tried, ["a", "b"], "left_anti"))
             tried = near
             found = confirm(near, sets, percent)
         else:
-            sized = members.join(members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "band")
-            sized = sized.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(classes.select("id", "low", "bands"), "id")
+            sized = members.join(stats.select("band", "blocks"), "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(classes.select("id", "low", "bands"), "id")
             both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda q: F.struct(F.least("block", q).alias("i"), F.greatest("block", q).alias("j")))
             grid = sized.withColumn("p", F.explode(both)).select("band", "p.i", "p.j", "id", "label", "low", "bands", "block")
             cells = grid.repartition(*CELL).sortWithinPartitions(*CELL).mapInPandas(lambda it: _cells(it, cut), CELLS)
