@@ -21,6 +21,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ WINDOW = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a Python worker keeps at hand.
-WORD_CACHE = 700_000
+WORD_CACHE = 300_000
 LONGEST_WORD = 10_000
 BLOCK_BYTES = 4 << 20
 #: Pieces of the largest lengths that a subset-sum looks at, so that its cost does not grow with the counts.
@@ -65,6 +66,16 @@ def vocabulary_path() -> str:
 _WORD_END = r"(\pL)([.,;:!?|%$#*&()]+)(\s|$)"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters by which a byte-level vocabulary writes bytes: printable ones stand for themselves, the others for those from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class WordTokenizer:
     """Ids of texts, word by word: this vocabulary's pre-tokenizer never joins across ASCII white space.
 
@@ -82,19 +93,29 @@ class WordTokenizer:
         self.known: dict[str, int] = {}
         self.store, self.sizes = array("H"), array("H")
 
+    def _keep(self, word: str, ids: list[int]) -> None:
+        self.known[word] = len(self.sizes)
+        self.sizes.append(len(ids))
+        self.store.extend(ids)
+
     def _numbers(self, words: list[str]) -> np.ndarray:
         """Numbers of words in the store; words not seen before are tokenized and added."""
         if len(self.known) > WORD_CACHE:
             self._forget()
         known = self.known
         new = [w for w in words if w not in known]
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
+        merge, odd = self.tok.model.tokenize, []
+        for w in new:
+            # a word of letters in normal form is one unit already, so its merges can be asked for directly
+            if w.isalpha() and (w.isascii() or (w.lower() == w and is_normalized("NFC", w))):
+                name = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                self._keep(w, [t.id for t in merge(name)])
+            else:
+                odd.append(w)
+        for k in range(0, len(odd), 10_000):
+            part = odd[k : k + 10_000]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                ids = e.ids
-                known[w] = len(self.sizes)
-                self.sizes.append(len(ids))
-                self.store.extend(ids)
+                self._keep(w, e.ids)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def block(self, texts: pa.Array) -> list[np.ndarray]:
@@ -150,9 +171,11 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, window: int, keep_ids: bo
     tok = word_tokenizer(path)
     for b in batches:
         rows: list[list] = [[], [], [], [], [], []]
-        names, texts = b.column(0).to_pylist(), b.column(1).fill_null("").cast(pa.large_string())
+        names, texts = b.column(0).to_pylist(), b.column(1)
         _, offs = text_bytes(texts)
-        for doc_id, ids in ((names[i + k], ids) for i, j in _stretches(offs) for k, ids in enumerate(tok.block(texts[i:j]))):
+        # taken, not sliced: casts of slices keep their first offset, which string functions then misread
+        blocks = ((i, texts.take(pa.array(range(i, j))).fill_null("").cast(pa.large_string())) for i, j in _stretches(offs))
+        for doc_id, ids in ((names[i + k], ids) for i, part in blocks for k, ids in enumerate(tok.block(part))):
             ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
             for start in range(0, len(ids), window):
                 piece = ids[start : start + window]
@@ -161,6 +184,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, window: int, keep_ids: bo
                     col.append(v)
         cols = [pa.array(c, pa.int64()) for c in rows[:5]] + ([pa.array(rows[5], pa.binary())] if keep_ids else [])
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids])
+        pa.default_memory_pool().release_unused()
 
 
 def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, keep_ids: bool = True) -> DataFrame:

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +182,16 @@ def test_random_texts_have_equal_ids(tok):
         assert w.ids(t).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_blocks_of_a_batch_have_equal_ids(tok, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 300)
+    texts = [prose(i, 5 + i) + " É ñ Ünd" * (i % 4) if i % 5 else None for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    for b in (batch, batch.slice(7, 40)):
+        (out,) = packing._cut(iter([b]), packing.vocabulary_path(), 4096, True)
+        got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in out.to_pylist()}
+        assert got == {i: [*tok.encode(texts[i] or "", add_special_tokens=False).ids, 2] for i in b.column(0).to_pylist()}
+
+
 def best_sum(counts, window):
     first = max(counts)
     sums = {first}
@@ -209,7 +220,8 @@ def test_plan_uses_every_piece():
     assert used == counts
 
 
-def test_packing(spark, tok):
+def test_packing(spark, tok, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 5000)
     rows = ODD + [(i, prose(i, 20 + 37 * i % 900)) for i in range(120)] + [(500 + i, "same words here") for i in range(200)]
     d = documents(spark, rows).withColumn("rank", F.lit("x")).withColumn("length", F.lit(1))
     cut = packing.pieces(d, window=256).cache()
