@@ -35,6 +35,7 @@ PARTS = {
 }
 KINDS = (*BASE_KINDS, *PARTS)
 REACH = 200
+FOLD = 256
 REDACTED = "[redacted]"
 
 
@@ -49,7 +50,6 @@ def find(text: Column, pattern: str, kind: str) -> Column:
 
     def place(p: Column) -> Column:
         empty = F.array().cast("array<struct<s:bigint,k:int,e:bigint,m:string>>")
-        start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans"))
 
         def step(acc: Column, pair: Column) -> Column:
             s = acc["at"] + F.length(pair["gap"])
@@ -57,9 +57,22 @@ def find(text: Column, pattern: str, kind: str) -> Column:
             one = F.struct(s.alias("s"), F.lit(rank).alias("k"), e.alias("e"), pair["hit"].alias("m"))
             return F.struct(e.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
 
+        def run(block: Column, at: Column) -> Column:
+            return F.aggregate(block, F.struct(at.alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+
+        # folds append to arrays, which copies them: blocks keep that in bounds for texts of very many matches
+        def blocked(pairs: Column) -> Column:
+            cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / FOLD).cast("int")), lambda i: F.slice(pairs, i * FOLD + 1, FOLD))
+            return _let(cut, joined)
+
+        def joined(blocks: Column) -> Column:
+            long = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda s, x: s + F.length(x["gap"]) + F.length(x["hit"])))
+            none = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+            starts = F.aggregate(long, none, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+            return F.flatten(F.zip_with(blocks, starts, run))
+
         gaps = F.slice(p["gaps"], 1, F.size(p["hits"]))
-        pairs = F.zip_with(gaps, p["hits"], lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-        return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
+        return _let(F.zip_with(gaps, p["hits"], lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), blocked)
 
     none = F.array().cast("array<struct<s:bigint,k:int,e:bigint,m:string>>")
     return F.when(text.rlike(pattern), _let(parts, place)).otherwise(none)

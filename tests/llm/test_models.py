@@ -112,7 +112,9 @@ def test_copies_of_an_article_keep_their_text():
     assert html.extract_group([page(7)] * 5) == ["Head 7\nOne & 7.\nTwo 7 inline © it"] * 5
 
 
-def test_pages_by_host(spark):
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_pages_by_host(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(html, "BROADCAST_HOSTS", broadcast)
     rows = [(i, f"http://h{i % 2}.example.com/{i}", page(i)) for i in range(120)] + [(120, None, page(120)), (121, "http://h0.example.com/", None), (121, "http://h0.example.com/", None)]
     d = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("host", F.lit("mine")).withColumn("group", F.lit(1))
     got = sorted(tuple(r) for r in html.main_texts(d).collect() if r.url)

@@ -74,6 +74,13 @@ def test_base_spans_by_plain_expressions(spark):
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest(), t
 
 
+def test_many_matches(spark):
+    text = "x token=abcdef1 𝒳\n" * 3000
+    got = secrets.scan(documents(spark, [(1, text)])).first()
+    want = [(m.start(), m.end()) for m in re.finditer("token=abcdef1", text)]
+    assert [(x.s, x.e) for x in got.base] == want
+
+
 def test_redaction(spark):
     d = documents(spark, [*SECRETS, (50, None), (51, "clean 𝒳")]).withColumn("base", F.lit(1)).withColumn("spans", F.lit("mine"))
     out = {r.doc_id: r for r in secrets.redact(d).collect()}
