@@ -29,9 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfolk.functions.scratch import materialize
 from kinfolk.llm.common import table
 
 GROUP_PAGES = 48
+#: Hosts of several groups that are broadcast, some 100 bytes each; beyond, a salted join takes their place.
+BROADCAST_HOSTS = 200_000
+SALTS = 64
 
 # HTML elements by kind, and names that mark page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -260,8 +264,15 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages(page_id, url, html)``."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     p = pages.select(F.col("page_id").cast("bigint"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    groups = p.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).alias("groups"))
-    p = p.join(groups, "host").withColumn("group", F.pmod(F.xxhash64("page_id"), F.col("groups")))
+    big = p.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_PAGES)
+    big = materialize(big.select("host", F.ceil(F.col("n") / GROUP_PAGES).alias("groups")))
+    # pages are dealt once, by host and group: a join on the host alone would gather a frequent host in one task
+    if big.count() <= BROADCAST_HOSTS:
+        p = p.join(F.broadcast(big), "host", "left")
+    else:
+        p = p.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
+        p = p.join(big.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), ["host", "salt"], "left")
+    p = p.withColumn("group", F.pmod(F.xxhash64("page_id"), F.coalesce("groups", F.lit(1).cast("bigint")))).select("page_id", "url", "html", "host", "group")
 
     def extract(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["page_id", "html"], kind="stable", na_position="first")
