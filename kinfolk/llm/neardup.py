@@ -39,6 +39,8 @@ from kinfolk.operators.components import component_labels
 MINIMA, BANDS, ROWS, BITS = 128, 32, 4, 4
 LEADER_ROUNDS = 2
 BLOCK = 512
+#: Sets of followers that meet their leader in one task.
+FOLLOWERS = 128
 #: Standard deviation of the estimate at the threshold, times five and a half, is some 0.2.
 MARGIN = 0.2
 BROADCAST_IDS = 2_000_000
@@ -174,10 +176,10 @@ def _confirm(key, members: pd.DataFrame, leader: pd.DataFrame, percent: int) ->
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets reach the threshold, as (src, dst).
 
-    A leader's set goes once to each part of its followers, of 512 or so; a follower's set goes along
+    A leader's set goes once to each part of its followers, of ``FOLLOWERS`` or so; a follower's set goes along
     with its pair. So a leader of very many is dealt to many tasks and each holds few sets at a time.
     """
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 512).alias("parts"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / FOLLOWERS).alias("parts"))
     dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
     members = dealt.join(sets.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "hashes")
     leaders = parts.join(sets.withColumnRenamed("id", "a"), "a").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
