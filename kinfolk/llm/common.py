@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -39,7 +40,8 @@ _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+#: Tables of powers come in multiples of this, so that blocks of like size share one.
+STEP = 1 << 20
 
 
 def byte_values(seed: int) -> np.ndarray:
@@ -47,9 +49,8 @@ def byte_values(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
 
-@lru_cache(maxsize=2)
-def _powers(log2: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << log2
+@lru_cache(maxsize=1)
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
@@ -57,7 +58,7 @@ def _powers(log2: int, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     """``base**i`` and its inverse modulo 2**64 for i < n (at least)."""
-    return _powers(max(16, int(n).bit_length()), base)
+    return _powers(max(1, -(-n // STEP)) * STEP, base)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -91,7 +92,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d[o[0] : o[-1]], o - o[0]
 
 
-def blocks(buf: np.ndarray, offs: np.ndarray, most: int = 1 << 21):
+def blocks(buf: np.ndarray, offs: np.ndarray, most: int = 1_000_000):
     """Runs of whole texts of about ``most`` bytes: (first, last, bytes, offsets). A longer text stands alone."""
     i, n = 0, len(offs) - 1
     while i < n:
@@ -117,3 +118,25 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
+
+
+def stretches(col: pa.Array, most: int):
+    """Parts of a string column of about ``most`` bytes, as (first, column without nulls) with 64-bit offsets.
+
+    Rows are taken, not sliced: a cast of a slice keeps its first offset, which string functions then misread.
+    """
+    _, offs = text_bytes(col)
+    i, n = 0, len(offs) - 1
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1))
+        yield i, col.take(pa.array(range(i, j))).fill_null("").cast(pa.large_string())
+        i = j
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library can
+        pass

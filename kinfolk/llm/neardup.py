@@ -115,6 +115,7 @@ def _hash_rows(batches, k: int):
              pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary())],
             names=["doc_id", "n_shingles", "digest", "bands", "low"],
         )
+    C.give_back()
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -130,6 +131,7 @@ def _set_rows(batches, k: int):
             x, at = shingle_hashes(part, o, k)
             sets += [np.unique(x[at[d] : at[d + 1]]).tobytes() for d in range(len(at) - 1)]
         yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["id", "hashes"])
+    C.give_back()
 
 
 def collision_corrected(equal: np.ndarray, total: int = MINIMA, bits: int = BITS) -> np.ndarray:

@@ -33,15 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinfolk.functions.scratch import materialize
-from kinfolk.llm.common import table, text_bytes
+from kinfolk.llm.common import give_back, stretches, table
 
 WINDOW = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a Python worker keeps at hand.
-WORD_CACHE = 300_000
+WORD_CACHE = 400_000
 LONGEST_WORD = 10_000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 #: Pieces of the largest lengths that a subset-sum looks at, so that its cost does not grow with the counts.
 COPIES_PER_LENGTH = 8
 CELL_ROWS = 512
@@ -87,9 +87,9 @@ class WordTokenizer:
     def __init__(self, path: str):
         self.tok = _tokenizer(path)
         self.marks = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.store, self.sizes = array("H"), array("H")
 
@@ -101,7 +101,7 @@ class WordTokenizer:
     def _numbers(self, words: list[str]) -> np.ndarray:
         """Numbers of words in the store; words not seen before are tokenized and added."""
         if len(self.known) > WORD_CACHE:
-            self._forget()
+            self.forget()
         known = self.known
         new = [w for w in words if w not in known]
         merge, odd = self.tok.model.tokenize, []
@@ -151,31 +151,20 @@ class WordTokenizer:
 
 @lru_cache(maxsize=1)
 def word_tokenizer(path: str) -> WordTokenizer:
-    """The worker's tokenizer, which keeps its words from task to task."""
+    """The worker's tokenizer; it keeps its vocabulary from task to task, and its words within one."""
     return WordTokenizer(path)
 
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-def _stretches(offs: np.ndarray):
-    """Runs of texts of about ``BLOCK_BYTES``."""
-    i = 0
-    while i < len(offs) - 1:
-        j = min(len(offs) - 1, max(i + 1, int(np.searchsorted(offs, offs[i] + BLOCK_BYTES, "right")) - 1))
-        yield i, j
-        i = j
-
-
 def _cut(batches: Iterator[pa.RecordBatch], path: str, window: int, keep_ids: bool):
     tok = word_tokenizer(path)
     for b in batches:
         rows: list[list] = [[], [], [], [], [], []]
-        names, texts = b.column(0).to_pylist(), b.column(1)
-        _, offs = text_bytes(texts)
-        # taken, not sliced: casts of slices keep their first offset, which string functions then misread
-        blocks = ((i, texts.take(pa.array(range(i, j))).fill_null("").cast(pa.large_string())) for i, j in _stretches(offs))
-        for doc_id, ids in ((names[i + k], ids) for i, part in blocks for k, ids in enumerate(tok.block(part))):
+        names = b.column(0).to_pylist()
+        parts = ((i, tok.block(part)) for i, part in stretches(b.column(1), BLOCK_BYTES))
+        for doc_id, ids in ((names[i + k], ids) for i, each in parts for k, ids in enumerate(each)):
             ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
             for start in range(0, len(ids), window):
                 piece = ids[start : start + window]
@@ -184,7 +173,8 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, window: int, keep_ids: bo
                     col.append(v)
         cols = [pa.array(c, pa.int64()) for c in rows[:5]] + ([pa.array(rows[5], pa.binary())] if keep_ids else [])
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids])
-        pa.default_memory_pool().release_unused()
+    tok.forget()
+    give_back()
 
 
 def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, keep_ids: bool = True) -> DataFrame:

@@ -172,6 +172,7 @@ def _alive(key, pdf: pd.DataFrame, flags: pd.DataFrame, bits: int) -> pd.DataFra
         "done_sizes": size[~open_].tolist(),
         "done_sha": [hashlib.sha256(t or b"").hexdigest() for t, o in zip(texts, open_) if not o],
     }
+    C.give_back()
     return pd.DataFrame([row])
 
 
@@ -200,6 +201,7 @@ def _finish(key, pdf: pd.DataFrame, flags: pd.DataFrame, bits: int) -> pd.DataFr
         at += n
     f = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
     f["doc_id"] = f.doc_id.astype("Int64")
+    C.give_back()
     return f
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfolk.llm.common import table
+from kinfolk.llm.common import give_back, stretches, table
 
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE_ROWS = 8000
@@ -35,6 +35,7 @@ SMOOTHING = 0.5
 PENALTY = 2e-4
 STEPS = 300
 CUT = 0.7
+BLOCK_BYTES = 4 << 20
 
 _U = np.uint64
 
@@ -175,6 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         m = fit(texts, np.array(y, float))
         import pandas as pd
 
+        del texts
+        give_back()
         yield pd.DataFrame({"slots": [m.slots.astype("<i8").tobytes()], "weights": [m.weights.astype("<f8").tobytes()], "bias": [m.bias]})
 
     r = sample.mapInPandas(fitted, "slots binary, weights binary, bias double").first()
@@ -192,9 +195,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def scored(batches):
         lookup = model.table()
         for b in batches:
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            s = score_texts(model, texts, lookup)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "score"])
+            s = [score_texts(model, part.to_pylist(), lookup) for _, part in stretches(b.column(at), BLOCK_BYTES)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([np.zeros(0), *s]), pa.float64())], names=[*b.schema.names, "score"])
+        give_back()
 
     return d.mapInArrow(scored, schema)
 
