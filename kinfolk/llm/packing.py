@@ -42,8 +42,8 @@ VOCABULARY = "word_bpe_49k.json"
 WORD_CACHE = 400_000
 LONGEST_WORD = 10_000
 BLOCK_BYTES = 3 << 20
-#: Pieces of the largest lengths that a subset-sum looks at, so that its cost does not grow with the counts.
-COPIES_PER_LENGTH = 8
+#: Pieces of one length that a subset-sum looks at: as many as a window can hold, so none is left out.
+COPIES_PER_LENGTH = WINDOW
 CELL_ROWS = 512
 
 
@@ -187,35 +187,38 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, keep_
 def best_fill(counts: dict[int, int], window: int) -> dict[int, int]:
     """Length -> number of pieces of one window with the least slack that holds the longest piece left.
 
-    ``reach[k]`` is a bit set of the sums that the first k lengths give. Traced back from the largest sum.
+    ``reach[k]`` is a bit set of the sums that the first k items give. Traced back from the largest sum. The pieces of a
+    length are items of 1, 2, 4, ... pieces and the rest, which give every number of them with few shifts.
     """
     longest = max(counts)
     lengths = sorted((x for x in counts if x <= window - longest), reverse=True)
     full = (1 << (window + 1)) - 1
     reach = [1 << longest]
-    used: list[tuple[int, int]] = []
+    used: list[tuple[int, int, int]] = []
     for x in lengths:
-        most = min(counts[x] - (x == longest), (window - longest) // x, COPIES_PER_LENGTH)
-        for _ in range(most):
+        most, item = min(counts[x] - (x == longest), (window - longest) // x), 1
+        while most > 0 and not reach[-1] >> window & 1:
+            n = min(item, most)
+            most, item = most - n, 2 * item
             before = reach[-1]
-            now = (before | before << x) & full
+            now = (before | before << n * x) & full
             if now == before:
-                break
-            used.append((x, len(reach)))
+                continue
+            used.append((x, n, len(reach)))
             reach.append(now)
         if reach[-1] >> window & 1:
             break
     total = reach[-1].bit_length() - 1
     pattern = {longest: 1}
-    for x, k in reversed(used):
+    for x, n, k in reversed(used):
         if not reach[k - 1] >> total & 1:
-            total -= x
-            pattern[x] = pattern.get(x, 0) + 1
+            total -= n * x
+            pattern[x] = pattern.get(x, 0) + n
     return pattern
 
 
 def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, dict[int, int]]]:
-    """(number of windows, pieces by length of each) that use up ``counts``; at most some 2 * window entries."""
+    """(number of windows, pieces by length of each) that use up ``counts``; at most some 4 * window entries."""
     left = {x: n for x, n in counts.items() if n > 0}
     out = []
     while left:

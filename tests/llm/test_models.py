@@ -222,6 +222,31 @@ def test_plan_uses_every_piece():
     assert used == counts
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_best_fill_takes_as_many_pieces_as_fit(seed):
+    r = random.Random(seed)
+    counts = {r.randint(2, 9): r.randint(10, 60), r.randint(10, 40): 1, 41: 2}
+    sums = {41}
+    for x, n in counts.items():
+        sums = {s + k * x for s in sums for k in range(n - (x == 41) + 1) if s + k * x <= 300}
+    pattern = packing.best_fill(counts, 300)
+    assert sum(x * n for x, n in pattern.items()) == max(sums) and all(n <= counts[x] for x, n in pattern.items())
+
+
+@pytest.mark.parametrize(("length", "n"), [(60, 100_000), (1, 50_000), (1500, 999)])
+def test_many_pieces_of_one_length_fill_windows(length, n):
+    made = packing.plan({length: n})
+    assert sum(times for times, _ in made) == -(-n // (4096 // length))
+    assert sum(times * pattern[length] for times, pattern in made) == n
+
+
+def test_short_pieces_fill_beside_long_ones():
+    r = random.Random(3)
+    counts = Counter(min(4096, max(1, int(r.lognormvariate(6, 1)))) for _ in range(20_000)) + Counter({40: 10_000})
+    made = packing.plan(dict(counts))
+    assert sum(x * n for x, n in counts.items()) > 0.99 * 4096 * sum(times for times, _ in made)
+
+
 def test_packing(spark, tok, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK_BYTES", 5000)
     rows = ODD + [(i, prose(i, 20 + 37 * i % 900)) for i in range(120)] + [(500 + i, "same words here") for i in range(200)]
