@@ -13,7 +13,8 @@ scripts, styles and comments go, as do such elements inside kept slots.
 Text inside a kept slot is never dropped for being frequent: copies of an article keep their text.
 
 Cases: null or empty html gives an empty text; a host with one page, or pages that share nothing, is judged
-by paths alone; unclosed, misnested and cut-off markup is repaired as it comes; a page without markup is
+by paths alone; pages without the root's tokens (plain text, fragments, a second layout) are a group of their own, judged in
+the same way; a page with nothing in the kept slots keeps the slots with text of its own; unclosed, misnested and cut-off markup is repaired as it comes; a page without markup is
 text; repeated rows are pages of their own; a null url is a host of its own; extra columns are ignored.
 """
 
@@ -248,16 +249,36 @@ def page_text(page: Page, root: list[str], slots: set | None) -> str:
     return "\n".join(b for b in blocks if b)
 
 
-def extract_group(htmls: list[str]) -> list[str]:
-    pages = [parse(h or "") for h in htmls]
+def own_slots(page: Page, root: list[str]) -> set:
+    """Slots in which a page has text of its own: neither the template's, nor furniture, nor links."""
+    place = {t: i for i, t in enumerate(root)}
+    own: set = set()
+    k, slot = 0, -1
+    for node in page.nodes:
+        while k < node.at:
+            slot = place.get(page.tokens[k], slot)
+            k += 1
+        if node.text.strip() and page.tokens[node.at] not in place and not is_furniture(node.path) and all(t != "a" for t, _ in node.path):
+            own.add(slot)
+    return own
+
+
+def group_texts(pages: list[Page]) -> list[str]:
+    """Main texts of parsed pages. Those without the root's tokens do not follow the template and are a group of their own."""
     root: list[str] = []
-    slots: set | None = None
     if len(pages) > 1:
-        classes = equivalence_classes(pages)
-        root, nested = template(pages, classes)
+        root, nested = template(pages, equivalence_classes(pages))
         root = [t for t in root if t not in nested]
-        slots = kept_slots(pages, root) if root else None
-    return [page_text(p, root, slots) for p in pages]
+    if not root:
+        return [page_text(p, [], None) for p in pages]
+    follows = [root[0] in p.tokens for p in pages]
+    slots = kept_slots([p for p, yes in zip(pages, follows) if yes], root)
+    rest = iter(group_texts([p for p, yes in zip(pages, follows) if not yes]))
+    return [(page_text(p, root, slots) or page_text(p, root, own_slots(p, root))) if yes else next(rest) for p, yes in zip(pages, follows)]
+
+
+def extract_group(htmls: list[str]) -> list[str]:
+    return group_texts([parse(h or "") for h in htmls])
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

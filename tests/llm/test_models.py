@@ -112,6 +112,32 @@ def test_copies_of_an_article_keep_their_text():
     assert html.extract_group([page(7)] * 5) == ["Head 7\nOne & 7.\nTwo 7 inline © it"] * 5
 
 
+SECOND = '<html><body class="b2"><section class="q1"><h2>Name {i}</h2><p>Words of {i}</p></section></body></html>'
+
+
+@pytest.mark.parametrize("main", ["article", 'div class="x9"'])
+@pytest.mark.parametrize(
+    ("odd", "want"),
+    [
+        (["plain text\n here"], ["plain text here"]), (["<p>a fragment</p>"], ["a fragment"]), ([SECOND.format(i=1)], ["Name 1\nWords of 1"]),
+        ([SECOND.format(i=i) for i in (1, 2, 3)], [f"Name {i}\nWords of {i}" for i in (1, 2, 3)]),
+        (["plain one", "plain two", "<p>a</p>", "<p>b</p>", None, ""], ["plain one", "plain two", "a", "b", "", ""]),
+        (["<p>same</p>", "<p>same</p>"], ["same", "same"]),
+    ],
+)
+def test_pages_beside_the_template_keep_their_text(main, odd, want):
+    own = [page(i, main) for i in range(7)]
+    texts = [f"Head {i}\nOne & {i}.\nTwo {i} inline © it" for i in range(7)]
+    assert html.extract_group([*own, *odd]) == [*texts, *want]
+    assert html.extract_group([*odd, *own]) == [*want, *texts]
+
+
+def test_a_page_with_its_text_in_another_slot_keeps_it():
+    pages = [f"<html><body><article><p>Words {i}</p></article><hr><i>fixed</i></body></html>" for i in range(5)]
+    pages.append("<html><body><article></article><hr><i>fixed</i><div>Late words</div></body></html>")
+    assert html.extract_group(pages) == [*[f"Words {i}" for i in range(5)], "Late words"]
+
+
 @pytest.mark.parametrize("broadcast", [0, 1000])
 def test_pages_by_host(spark, monkeypatch, broadcast):
     monkeypatch.setattr(html, "BROADCAST_HOSTS", broadcast)
