@@ -8,9 +8,10 @@ page. The largest valid class that occurs once a page is the template's root; ot
 in the slots between its tokens. What remains in the slots is the pages' own content. A slot is kept
 by where it lies and what it holds: inside the article if the template has one, else where the
 text varies over the pages and is not mostly links; slots of menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments go, as do such elements inside kept slots.
+scripts, styles and comments go, as do such elements inside kept slots. On a page with an article its mark bounds the text, and
+elements inside it that hold only words of the template, on pages that otherwise differ, go as well.
 
-Text inside a kept slot is never dropped for being frequent: copies of an article keep their text.
+Other text inside a kept slot is never dropped for being frequent: copies of an article keep their text.
 
 Cases: null or empty html gives an empty text; a host with one page, or pages that share nothing, is judged
 by paths alone; pages without the root's tokens (plain text, fragments, a second layout) are a group of their own, judged in
@@ -54,6 +55,7 @@ FURNITURE_NAMES = frozenset(
 )
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_NAMES = frozenset(("article", "main", "content", "post", "entry", "story"))
+CONTAINERS = frozenset("div section ul ol dl table blockquote figure fieldset details address center".split())
 CLOSES_P = BLOCKS - {"br", "option", "optgroup"}
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -229,7 +231,36 @@ def kept_slots(pages: list[Page], root: list[str]) -> set | None:
     return own | {b for s in own for b in blocks[s]} or None
 
 
-def page_text(page: Page, root: list[str], slots: set | None) -> str:
+def fixed_elements(pages: list[Page], classes: list[list[str]]) -> set:
+    """Paths of elements inside main marks that belong to the template: wherever they occur they hold only its words,
+    on half of the pages or more (three at least) that all differ in their own text, so copies of an article give none.
+    A plain heading or paragraph is no element of its own here: it must have a name or be a container."""
+    fixed_words = {t for c in classes for t in c}
+    marks: dict[tuple, list[tuple]] = {}
+    varied: set = set()
+    holders: dict[tuple, set] = defaultdict(set)
+    for p in pages:
+        own, held = [], set()
+        for node in p.nodes:
+            if not node.text.strip():
+                continue
+            if node.path not in marks:
+                first = next((i for i in range(len(node.path)) if is_main(node.path[: i + 1])), len(node.path))
+                below = range(first + 1, len(node.path))
+                marks[node.path] = [] if is_furniture(node.path) else [node.path[: i + 1] for i in below if node.path[i][1] or node.path[i][0] in CONTAINERS]
+            if p.tokens[node.at] in fixed_words:
+                held.update(marks[node.path])
+            else:
+                varied.update(marks[node.path])
+                if is_main(node.path) and not is_furniture(node.path):
+                    own.append(node.text)
+        for path in held:
+            holders[path].add(tuple(own))
+    need = max(3, (len(pages) + 1) // 2)
+    return {path for path, texts in holders.items() if path not in varied and len(texts - {()}) >= need}
+
+
+def page_text(page: Page, root: list[str], slots: set | None, fixed: set | frozenset = frozenset()) -> str:
     place = {t: i for i, t in enumerate(root)}
     inside = any(is_main(n.path) and not is_furniture(n.path) and n.text.strip() for n in page.nodes)
     out: list[list[str]] = []
@@ -241,6 +272,8 @@ def page_text(page: Page, root: list[str], slots: set | None) -> str:
         fresh |= node.block
         if is_furniture(node.path) or (inside and not is_main(node.path)) or (not inside and slots is not None and slot not in slots and _block(node.path) not in slots):
             continue
+        if fixed and any(node.path[:i] in fixed for i in range(1, len(node.path) + 1)):
+            continue
         if fresh or not out:
             out.append([])
             fresh = False
@@ -267,14 +300,16 @@ def group_texts(pages: list[Page]) -> list[str]:
     """Main texts of parsed pages. Those without the root's tokens do not follow the template and are a group of their own."""
     root: list[str] = []
     if len(pages) > 1:
-        root, nested = template(pages, equivalence_classes(pages))
+        classes = equivalence_classes(pages)
+        root, nested = template(pages, classes)
         root = [t for t in root if t not in nested]
     if not root:
         return [page_text(p, [], None) for p in pages]
     follows = [root[0] in p.tokens for p in pages]
-    slots = kept_slots([p for p, yes in zip(pages, follows) if yes], root)
+    fit = [p for p, yes in zip(pages, follows) if yes]
+    slots, fixed = kept_slots(fit, root), fixed_elements(fit, classes)
     rest = iter(group_texts([p for p, yes in zip(pages, follows) if not yes]))
-    return [(page_text(p, root, slots) or page_text(p, root, own_slots(p, root))) if yes else next(rest) for p, yes in zip(pages, follows)]
+    return [(page_text(p, root, slots, fixed) or page_text(p, root, own_slots(p, root))) if yes else next(rest) for p, yes in zip(pages, follows)]
 
 
 def extract_group(htmls: list[str]) -> list[str]:

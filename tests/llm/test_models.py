@@ -108,6 +108,21 @@ def test_equivalence_classes_need_one_order():
         assert not {"a1.", "b1."} <= set(c)
 
 
+def test_elements_of_the_template_inside_an_article_go():
+    more = '<div class="zq7"><h3>Mind this</h3><p>the same <b>words</b> everywhere</p></div><p class="k2">more of us</p><p>End {i}</p>'
+    pages = [page(i, more=more.format(i=i)) for i in range(6)]
+    assert html.extract_group(pages) == [f"Head {i}\nOne & {i}.\nTwo {i} inline © it\nEnd {i}" for i in range(6)]
+
+
+def test_named_elements_of_an_article_stay_if_they_vary_or_are_copies():
+    quote = '<div class="zq7"><p>a quote</p></div>'
+    copies = [page(7, more=quote)] * 4
+    others = [page(i, more=f'<div class="k2">own {i}</div>') for i in range(3)]
+    whole = "Head 7\nOne & 7.\nTwo 7 inline © it\na quote"
+    assert html.extract_group(copies) == [whole] * 4
+    assert html.extract_group(copies + others) == [*[whole] * 4, *[f"Head {i}\nOne & {i}.\nTwo {i} inline © it\nown {i}" for i in range(3)]]
+
+
 def test_copies_of_an_article_keep_their_text():
     assert html.extract_group([page(7)] * 5) == ["Head 7\nOne & 7.\nTwo 7 inline © it"] * 5
 
