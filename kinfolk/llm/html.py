@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
@@ -80,6 +81,11 @@ class Page:
     nodes: list[Node] = field(default_factory=list)
 
 
+def _short(words: str) -> str:
+    """A text as part of a token: a long one as its digest, so that texts with one opening stay apart."""
+    return words if len(words) <= 200 else blake2b(words.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def parse(html: str) -> Page:
     page, stack, paths, fresh = Page(), [], [()], True
     i, n = 0, len(html)
@@ -91,7 +97,7 @@ def parse(html: str) -> Page:
             page.nodes.append(Node(value, paths[-1], fresh, len(page.tokens)))
             if value.strip():
                 fresh = False
-                page.tokens.append("/".join(p[0] for p in paths[-1]) + "=" + " ".join(value.split())[:200])
+                page.tokens.append("/".join(p[0] for p in paths[-1]) + "=" + _short(" ".join(value.split())))
 
     def close(k: int) -> None:
         nonlocal fresh

@@ -123,6 +123,14 @@ def test_named_elements_of_an_article_stay_if_they_vary_or_are_copies():
     assert html.extract_group(copies + others) == [*[whole] * 4, *[f"Head {i}\nOne & {i}.\nTwo {i} inline © it\nown {i}" for i in range(3)]]
 
 
+def test_long_texts_with_one_opening_are_different_tokens():
+    a, b, c = (html.parse(f"<p>{'one opening ' * 30}{end}</p>").tokens[1] for end in ("x", "y", "x"))
+    assert a == c != b
+    more = '<div class="zq7"><p>' + "one opening " * 30 + "{i}</p></div>"
+    got = html.extract_group([page(i, more=more.format(i=i)) for i in range(6)])
+    assert [t.split("\n")[-1] for t in got] == ["one opening " * 30 + str(i) for i in range(6)]
+
+
 def test_copies_of_an_article_keep_their_text():
     assert html.extract_group([page(7)] * 5) == ["Head 7\nOne & 7.\nTwo 7 inline © it"] * 5
 
