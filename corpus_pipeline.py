@@ -44,8 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequence and offset."""
-    return packing.pack(materialize(packing.pieces(docs, keep_ids=False)))
+    """Pieces of all documents with their ids, sequence and offset."""
+    return packing.pack(materialize(packing.pieces(docs)))
 
 
 STAGES = [

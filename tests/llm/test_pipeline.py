@@ -2,6 +2,7 @@
 
 import importlib.util
 
+import numpy as np
 import pytest
 
 corpus = importlib.import_module("corpus_pipeline") if importlib.util.find_spec("corpus_pipeline") else None
@@ -70,3 +71,25 @@ def test_stages_on_nothing(spark, tmp_path):
 def test_repeated_rows_count_once(spark):
     d = documents(spark, [(1, prose(1, 30)), (1, prose(1, 30)), (2, prose(2, 30)), (2, prose(3, 30))])
     assert table_of(corpus.drop_near_duplicates(spark, d, "")) == sorted({tuple(r) for r in d.collect()}, key=str)
+
+
+def test_packed_sequences_hold_the_ids(spark):
+    tok = corpus.packing.WordTokenizer(corpus.packing.vocabulary_path())
+    texts = {1: prose(1, 30), 2: prose(2, 3000), 3: None, 4: prose(4, 500)}
+    d = documents(spark, [*texts.items(), (1, texts[1])])
+    sequences, pieces = {}, {}
+    for r in corpus.pack_sequences(spark, d, "").collect():
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(ids) == r.length
+        sequences.setdefault(r.sequence_id, []).append((r.offset, ids))
+        pieces.setdefault(r.doc_id, []).append((r.start, ids))
+    for parts in sequences.values():
+        at = 0
+        for offset, ids in sorted(parts):
+            assert offset == at
+            at += len(ids)
+    want = {i: [*tok.ids(t or "").tolist(), corpus.packing.END_ID] for i, t in texts.items()}
+    assert sorted(pieces.pop(1)) == [(0, want[1])] * 2
+    for i, parts in pieces.items():
+        assert sum((ids for _, ids in sorted(parts)), []) == want[i]
+    assert set(pieces) == {2, 3, 4}
