@@ -6,11 +6,11 @@ same expression: a match starts after the pieces and the matches before it, coun
 The method adds what no single pattern can claim. A *weak* candidate, such as ``secret_access_part: x``
 or ``user=x`` or a URL, is no finding alone. Within a scope (a block of lines, ended by an empty line)
 access identifiers, secrets and endpoints are joined by interval: a weak candidate is reported only if
-a candidate of a complementary part starts within ``REACH`` characters of it. The join is on the cells
-of width ``REACH`` that an interval touches, so a text with k candidates costs no k * k pairs.
+a candidate of a complementary part starts within ``REACH`` code points of its own start and in its scope. Candidates of
+a part are sorted by start, so the join is one binary search for the first of them in the interval: k candidates cost k * log k.
 
-Cases: null and empty texts have no spans; the SHA-256 is then that of the empty string. Overlapping
-spans of different kinds all stay. Rows are judged one by one: repeated rows repeat. Extra columns,
+Cases: null and empty texts have no spans; the SHA-256 is then that of the empty string; texts of any length are scanned whole.
+Overlapping spans of different kinds all stay. Rows are judged one by one: repeated rows repeat; no rows give no rows. Extra columns,
 whatever their names, stay in ``redact`` and are left out of ``scan``.
 """
 
@@ -89,50 +89,70 @@ def _scope_ends(text: Column) -> Column:
     return F.transform(find(text, r"\n[\x20\t\r]*\n", "assign"), lambda x: x["e"])
 
 
+#: The part that a kind stands for: 0 identifier, 1 secret, 2 endpoint.
+ROLES = {"assign": 1, "access": 0, "hex": 1, "ident": 0, "private": 1, "endpoint": 2}
+
+
+def _lower_bound(values: Column, least: Column) -> Column:
+    """How many of the ascending ``values`` are below ``least``, by binary search."""
+    none = F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        below = F.get(values, mid) < least
+        open_ = acc["lo"] < acc["hi"]
+        return F.struct(F.when(open_ & below, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~below, mid).otherwise(acc["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + F.lit(1))).cast("int"))
+    return F.aggregate(steps, none, halve, lambda acc: acc["lo"])
+
+
 def linked_spans(text: Column, strong: Column) -> Column:
     """Weak candidates that have a complementary part in reach within their scope.
 
-    ``strong`` are base spans: an access key counts as an identifier, an assignment as a secret. A weak
+    ``strong`` are base spans: an access key counts as an identifier, an assignment or hex string as a secret. A weak
     candidate that overlaps a base span of its own role is that finding already and is left out.
     """
     weak = F.concat(*[find(text, p, k) for k, p in PARTS.items()])
-    role = F.create_map(*[F.lit(x) for k, r in (("ident", 0), ("private", 1), ("endpoint", 2), ("access", 0), ("assign", 1), ("hex", 1)) for x in (KINDS.index(k), r)])
+    role = F.array(*[F.lit(ROLES[k]) for k in KINDS])
+
+    def own(c: Column) -> Column:
+        """Weak candidates without those that are base findings. Spans of one base kind do not overlap, so their ends are in order too."""
+
+        def new(x: Column) -> Column:
+            hit = F.lit(False)
+            for k, kind in enumerate(BASE_KINDS):
+                at = _lower_bound(c[f"e{k}"], x["s"] + 1)
+                hit = hit | ((F.get(role, x["k"]) == ROLES[kind]) & F.coalesce(F.get(c[f"s{k}"], at) < x["e"], F.lit(False)))
+            return ~hit
+
+        return F.struct(F.filter(c["weak"], new).alias("weak"), c["ends"].alias("ends"))
+
+    def starts(c: Column) -> Column:
+        """The starts of all candidates of each role, ascending."""
+
+        def of(r: int) -> Column:
+            some = F.filter(F.concat(strong, c["weak"]), lambda x: F.get(role, x["k"]) == r)
+            return F.array_sort(F.transform(some, lambda x: x["s"])).alias(f"r{r}")
+
+        return F.struct(*[of(r) for r in range(3)], c["weak"].alias("weak"), c["ends"].alias("ends"))
 
     def link(c: Column) -> Column:
-        everything = c["all"]
-
-        def cells(r: int) -> Column:
-            own = F.filter(everything, lambda x: x["r"] == r)
-            return F.array_distinct(
-                F.flatten(F.transform(own, lambda x: F.transform(F.sequence(F.floor(x["s"] / REACH) - 1, F.floor(x["s"] / REACH) + 1), lambda q: F.struct(x["c"].alias("c"), q.alias("q")))))
-            )
-
-        by_role = F.struct(*[cells(r).alias(f"r{r}") for r in range(3)])
-
-        def keep(m: Column) -> Column:
-            def near(x: Column, r: int) -> Column:
-                return F.array_contains(m[f"r{r}"], F.struct(x["c"].alias("c"), F.floor(x["s"] / REACH).alias("q")))
-
-            return F.filter(
-                everything,
-                lambda x: (x["k"] >= len(BASE_KINDS))
-                & (((x["r"] == 0) & near(x, 1)) | ((x["r"] == 1) & (near(x, 0) | near(x, 2))) | ((x["r"] == 2) & near(x, 1))),
-            )
-
-        return _let(by_role, keep)
-
-    def with_scope(c: Column) -> Column:
-        return F.struct(
-            F.transform(
-                c["all"],
-                lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), x["m"].alias("m"), F.element_at(role, x["k"]).alias("r"), F.size(F.filter(c["ends"], lambda e: e <= x["s"])).alias("c")),
-            ).alias("all"),
-            c["ends"].alias("ends"),
-        )
-
-    own = F.filter(weak, lambda x: ~F.exists(strong, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
-    packed = F.struct(F.concat(own, strong).alias("all"), _scope_ends(text).alias("ends"))
-    found = F.transform(_let(_let(packed, with_scope), link), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["m"].alias("m")))
+        def partner(x: Column, r: int) -> Column:
+            scope = _lower_bound(c["ends"], x["s"] + 1)
+            least = F.greatest(x["s"] - REACH, F.coalesce(F.get(c["ends"], scope - 1), F.lit(0).cast("bigint")))
+            end = F.coalesce(F.get(c["ends"], scope), F.lit(1 << 62))
+            first = F.get(c[f"r{r}"], _lower_bound(c[f"r{r}"], least))
+            return F.coalesce((first <= x["s"] + REACH) & (first < end), F.lit(False))
+
+        return F.filter(c["weak"], lambda x: F.when(F.get(role, x["k"]) == 1, partner(x, 0) | partner(x, 2)).otherwise(partner(x, 1)))
+
+    by_kind = []
+    for k in range(len(BASE_KINDS)):
+        mine = F.array_sort(F.filter(strong, lambda x, k=k: x["k"] == k))
+        by_kind += [F.transform(mine, lambda x: x["s"]).alias(f"s{k}"), F.transform(mine, lambda x: x["e"]).alias(f"e{k}")]
+    packed = F.struct(weak.alias("weak"), _scope_ends(text).alias("ends"), *by_kind)
+    found = _let(_let(_let(packed, own), starts), link)
     some = F.lit(False)
     for p in PARTS.values():
         some = some | text.rlike(p)
@@ -196,9 +216,8 @@ def _oracle() -> str:
         for i, p in enumerate(quoted.values())
     )
     value = ASSIGN_VALUE.replace("'", "''")
-    roles = {"assign": 1, "access": 0, "hex": 1, "ident": 0, "private": 1, "endpoint": 2}
     names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
-    role = "[" + ", ".join(str(roles[k]) for k in KINDS) + "]"
+    role = "[" + ", ".join(str(ROLES[k]) for k in KINDS) + "]"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 raw AS ({raw}),
@@ -206,9 +225,9 @@ pos AS (SELECT doc_id, k, m, (sum(length(g)) OVER w + coalesce(sum(length(m)) OV
 hit AS (SELECT doc_id, k, s, s + length(m) AS e, m FROM pos WHERE m IS NOT NULL AND (k <> 0 OR length(regexp_extract(m, '{value}', 1)) >= 6)),
 base AS (SELECT * FROM hit WHERE k < 3),
 ends AS (SELECT * FROM hit WHERE k = 6),
-own AS (SELECT * FROM hit h WHERE k BETWEEN 3 AND 5 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = h.doc_id AND h.s < b.e AND b.s < h.e)),
+own AS (SELECT * FROM hit h WHERE k BETWEEN 3 AND 5 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = h.doc_id AND h.s < b.e AND b.s < h.e AND {role}[b.k + 1] = {role}[h.k + 1])),
 part AS (SELECT a.*, {role}[k + 1] AS r, (SELECT count(*) FROM ends n WHERE n.doc_id = a.doc_id AND n.e <= a.s) AS c FROM (SELECT * FROM own UNION ALL SELECT * FROM base) a),
-weak AS (SELECT * FROM part x WHERE k > 2 AND EXISTS (SELECT 1 FROM part y WHERE y.doc_id = x.doc_id AND y.c = x.c AND abs(y.s // {REACH} - x.s // {REACH}) <= 1
+weak AS (SELECT * FROM part x WHERE k > 2 AND EXISTS (SELECT 1 FROM part y WHERE y.doc_id = x.doc_id AND y.c = x.c AND abs(y.s - x.s) <= {REACH}
   AND ((x.r <> 1 AND y.r = 1) OR (x.r = 1 AND y.r <> 1)))),
 b AS (SELECT doc_id, string_agg({names}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) AS x, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS c, count(*) FILTER (k = 2) AS h FROM base GROUP BY 1),
 z AS (SELECT doc_id, string_agg({names}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) AS x FROM (SELECT doc_id, k, s, e FROM base UNION ALL SELECT doc_id, k, s, e FROM weak) GROUP BY 1)
