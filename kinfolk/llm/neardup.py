@@ -9,14 +9,16 @@
 3. *Estimate.* The share of equal low bits, corrected for chance collisions, is counted on the packed
    signatures; pairs far below the threshold (over five standard deviations) go.
 4. *Confirmation* on the full sets: exact intersection and union sizes.
-5. *Rest.* In buckets that still hold unlinked members, all remaining cross pairs are estimated in
-   cells of two blocks of bounded size. Sets of members in pairs near the threshold are brought to the cell, which
-   confirms the pairs in place and emits links only: no pair is lost and none becomes a row.
+5. *Rest.* In buckets that still hold unlinked members, the members of the largest component meet the others, and these meet
+   each other, in cells of two blocks of bounded size; members of one component do not meet again. Sets of members in pairs
+   near the threshold are brought to the cell, which confirms the pairs in place and emits links only: no pair is
+   lost and none becomes a row. A bucket of m members with r outside its largest component sends some m * r / BLOCK rows.
 6. Links are contracted to components, by star steps over tables unless they are few.
 
 Cases: null and wordless texts have an empty set and stay single; repeated rows share a class; a group
 of copies of any size is one class and adds one row; very long texts are hashed whole; an empty table
-gives an empty result; other input columns are ignored.
+gives an empty result; other input columns are ignored. A row without an id cannot stand for others: it takes the
+component of the rows with its set and is not kept if there are any with ids, else its component is null and it is kept.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ BLOCK = 512
 FOLLOWERS = 128
 #: Standard deviation of the estimate at the threshold, times five and a half, is some 0.2.
 MARGIN = 0.2
+#: Ids of 8 bytes that are broadcast: 16 MB.
 BROADCAST_IDS = 2_000_000
 
 _U = np.uint64
@@ -289,6 +292,24 @@ def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return b.withColumn("label", F.coalesce("label", "id"))
 
 
+def _grid(members: DataFrame, open_: DataFrame) -> DataFrame:
+    """Rows of the cells (band, i, j) of the buckets in ``open_``: one for each cell that a member takes part in.
+
+    Blocks 0 to r - 1 hold the members outside the largest component of a bucket, the blocks after them those of it. Cells are the pairs
+    of blocks of which one is among the first r.
+    """
+    sizes = members.join(open_.select("band"), "band").groupBy("band", "label").agg(F.count("*").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    each = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    each = materialize(each.select("band", "main", blocks(F.col("all") - F.col("most")).alias("rest"), blocks(F.col("most")).alias("mains")))
+    d = members.join(each, "band").withColumn("in_main", F.col("label") == F.col("main"))
+    key = F.xxhash64("id")
+    block = F.when(F.col("in_main"), F.col("rest") + F.pmod(key, F.col("mains"))).otherwise(F.pmod(key, F.col("rest"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("in_main"), F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1)
+    both = F.transform(others, lambda q: F.struct(F.least("block", q).alias("i"), F.greatest("block", q).alias("j")))
+    return d.withColumn("block", block).withColumn("p", F.explode(both)).select("band", "p.i", "p.j", "id", "label", "block")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
 
@@ -297,7 +318,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     cut = percent / 100 - MARGIN
     rows = materialize(signatures(docs, k))
-    some = rows.where("n_shingles > 0")
+    some = rows.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(some.groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "low")).alias("m")).select("digest", "m.*").withColumnRenamed("doc_id", "id"))
     lows = classes.select("id", "low")
     banded = classes.select("id", F.explode("bands").alias("band"))
@@ -305,7 +326,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     full = materialize(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"))
     buckets = materialize(banded.join(full, "band"))
     wanted = materialize(buckets.select("id").distinct())
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), "text")
     chosen = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id")
     sets = materialize(chosen.mapInArrow(lambda it: _set_rows(it, k), "id bigint, hashes binary").dropDuplicates(["id"]))
 
@@ -329,9 +350,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             tried = near
             found = confirm(near, sets, percent)
         else:
-            sized = members.join(stats.select("band", "blocks"), "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(classes.select("id", "low", "bands"), "id")
-            both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda q: F.struct(F.least("block", q).alias("i"), F.greatest("block", q).alias("j")))
-            grid = sized.withColumn("p", F.explode(both)).select("band", "p.i", "p.j", "id", "label", "low", "bands", "block")
+            grid = _grid(members, stats).join(classes.select("id", "low", "bands"), "id")
             cells = grid.repartition(*CELL).sortWithinPartitions(*CELL).mapInPandas(lambda it: _cells(it, cut), CELLS)
             held = materialize(cells).join(sets, "id")
             found = held.repartition(*CELL).sortWithinPartitions(*CELL).mapInPandas(lambda it: _confirm_cells(it, percent), "src bigint, dst bigint")
@@ -341,7 +360,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     by_class = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,8 +42,6 @@ VOCABULARY = "word_bpe_49k.json"
 WORD_CACHE = 400_000
 LONGEST_WORD = 10_000
 BLOCK_BYTES = 3 << 20
-#: Pieces of one length that a subset-sum looks at: as many as a window can hold, so none is left out.
-COPIES_PER_LENGTH = WINDOW
 CELL_ROWS = 512
 
 

@@ -2,15 +2,17 @@
 
 Features are the n-grams of 3 to 5 characters of the lower-cased text, hashed, present or not. From the
 training rows come their document counts by class and, from these, log-count ratios; the ratios scale
-the features of a logistic regression, which is the model. It is fitted once on a bounded sample of
-labelled rows (``SAMPLE_ROWS``, those of smallest hash); scoring reads every whole text in its scan, with
-no exchange. Labels come only from rows with ``crc32(doc_id) % 3 <> 1``; language, source and ids are no
-features.
-
-Cases: a null or empty text scores by the model's bias alone; without labelled rows of both classes
-the score is the share of toxic training rows (0 if there are none); repeated rows are scored each; a
-document with several labels is toxic if one says so; null labels are left out; extra columns stay in
-``score`` and never take part.
+the features of a logistic regression, which is the model. Labels come only from rows with ``crc32(doc_id) % 3 <> 1``; language,
+source and ids are no features. Scoring reads every whole text in its scan, with no exchange.
+
+Parameters of the model, the same at every size of input: it is fitted once, in one task, on labelled rows in order of a
+hash of their id, at most ``SAMPLE_ROWS`` documents and, after the first, ``SAMPLE_BYTES`` of text; of the hashed n-grams in ``MIN_DOCUMENTS`` of these
+or more it keeps the ``MAX_FEATURES`` whose counts by class surprise most.
+
+Cases: a null or empty text scores by the model's bias alone; very long texts are scored whole; without labelled rows of both classes
+the score is the share of toxic training rows (0 if there are none); repeated rows are scored each, and of several texts
+of one id the smallest is learned from; a document with several labels is toxic if one says so; null labels are left out;
+an empty table gives no rows; extra columns, whatever their names, stay in ``without_toxic`` and never take part; ``score`` replaces a column of its result's name.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from kinfolk.llm.common import give_back, stretches, table
 
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE_ROWS = 8000
+#: Bytes of their texts, at most, but for the first.
+SAMPLE_BYTES = 128 << 20
 SIZES = (3, 4, 5)
 HASH_BITS = 20
 MAX_FEATURES = 16_000
@@ -165,14 +169,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most ``rows`` labelled documents outside the held-out third; one task reads that sample."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "doc_id")
-    sample = sample.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "toxic")
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "toxic")
 
     def fitted(it):
-        texts, y = [], []
+        texts, y, left = [], [], SAMPLE_BYTES
         for pdf in it:
-            texts += [t or "" for t in pdf["text"]]
-            y += list(pdf["toxic"])
+            for t, label in zip(pdf["text"], pdf["toxic"]):
+                left -= len(t.encode("utf-8", "surrogatepass"))
+                if left >= 0 or not texts:
+                    texts.append(t)
+                    y.append(label)
         m = fit(texts, np.array(y, float))
         import pandas as pd
 
@@ -186,17 +194,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     return Model(np.frombuffer(r["slots"], "<i8"), np.frombuffer(r["weights"], "<f8"), r["bias"])
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows with ``score``; an earlier column of that name is replaced."""
-    d = docs.drop("score")
-    schema = T.StructType([*d.schema.fields, T.StructField("score", T.DoubleType())])
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """The rows with their score in column ``name``; an earlier column of that name is replaced."""
+    d = docs.drop(name)
+    schema = T.StructType([*d.schema.fields, T.StructField(name, T.DoubleType())])
     at = d.columns.index(text_col)
 
     def scored(batches):
         lookup = model.table()
         for b in batches:
             s = [score_texts(model, part.to_pylist(), lookup) for _, part in stretches(b.column(at), BLOCK_BYTES)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([np.zeros(0), *s]), pa.float64())], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([np.zeros(0), *s]), pa.float64())], names=[*b.schema.names, name])
         give_back()
 
     return d.mapInArrow(scored, schema)
@@ -210,9 +218,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The documents that score below ``cut``."""
-    scored = score(docs, train(docs, labels))
-    return scored.where(F.col("score") < cut).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that score below ``cut``, with their columns as they are."""
+    name = "__score"
+    while name in docs.columns:
+        name += "_"
+    scored = score(docs, train(docs, labels), name=name)
+    return scored.where(F.col(name) < cut).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 QUERIES = {"op2_toxicity": op2_toxicity}

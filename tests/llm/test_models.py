@@ -62,6 +62,65 @@ def test_grams_do_not_cross_texts():
         assert whole[1][whole[0] == i].tolist() == want
 
 
+def plain_grams(text):
+    """Hash slots of the n-grams of a text by plain loops over whole numbers."""
+    out = set()
+    low = text.lower()
+    for n in toxicity.SIZES:
+        for i in range(len(low) - n + 1):
+            h = ord(low[i]) + 1
+            for c in low[i + 1 : i + n]:
+                h = (h * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+            out.add((h * 0xD6E8FEB86659FD93 + n) % 2**64 >> (64 - toxicity.HASH_BITS))
+    return out
+
+
+def test_model_by_plain_loops():
+    """Ratios, features and scores of a plain version; its regression ends at the same loss or above."""
+    rows, labels = labelled(80, 4)
+    texts, y = [t for _, t in rows] + ["é𝒳 ÄÖ", "ab"], np.array([t for _, _, t in labels] + [0, 1], float)
+    model = toxicity.fit(texts, y)
+    grams = [plain_grams(t) for t in texts]
+    pos = Counter(g for s, t in zip(grams, y) if t for g in s)
+    neg = Counter(g for s, t in zip(grams, y) if not t for g in s)
+    often = {g for g in pos.keys() | neg.keys() if pos[g] + neg[g] >= toxicity.MIN_DOCUMENTS}
+    assert set(model.slots.tolist()) <= often
+    ratio = {g: np.log((pos[g] + 0.5) / (y.sum() + 1)) - np.log((neg[g] + 0.5) / (len(y) - y.sum() + 1)) for g in often}
+    weight = dict(zip(model.slots.tolist(), model.weights))
+    z = [model.bias + sum(weight.get(g, 0) for g in sorted(s)) for s in grams]
+    assert toxicity.score_texts(model, texts) == pytest.approx(1 / (1 + np.exp(-np.array(z))), abs=1e-9)
+    # weights are those of a regression on features scaled by the ratios: plain steps on its loss do not get below
+    index = {g: k for k, g in enumerate(model.slots.tolist())}
+    x = np.zeros((len(texts), len(index)))
+    for i, s in enumerate(grams):
+        for g in s & index.keys():
+            x[i, index[g]] = ratio[g]
+    loss = lambda w, b: np.mean(np.logaddexp(0, -(2 * y - 1) * (x @ w + b))) + toxicity.PENALTY / 2 * w @ w
+    w, b = np.zeros(len(index)), float(np.log(y.mean() / (1 - y.mean())))
+    for _ in range(300):
+        g = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = w - 4 / np.percentile((x**2).sum(1), 99) * (x.T @ g / len(y) + toxicity.PENALTY * w), b - g.mean()
+    own = np.array([weight[g] / ratio[g] if ratio[g] else 0.0 for g in index])
+    assert loss(own, model.bias) <= loss(w, b) + 1e-6
+
+
+def test_a_repeated_id_and_very_long_texts_are_one_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 3000)
+    rows, labels = labelled(60, 5)
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    d = documents(spark, rows + [(0, rows[0][1])] * 50)
+    assert (toxicity.train(d, lab).weights == toxicity.train(documents(spark, rows), lab).weights).all()
+
+
+@pytest.mark.parametrize("name", ["score", "__score", "toxic", "slots", "doc_id2"])
+def test_columns_of_any_name_stay(spark, name):
+    rows, labels = labelled(60, 6)
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    d = documents(spark, rows).withColumn(name, F.lit("mine"))
+    out = toxicity.without_toxic(d, lab)
+    assert out.columns == d.columns and {r[name] for r in out.collect()} == {"mine"}
+
+
 PAGE = (
     '<!DOCTYPE html><html><head><title>T {i}</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">menu {i}</a></li></ul></nav>'
     '<div class="ad">buy {i}</div><{main}><h1>Head {i}</h1><p><b>One &amp; {i}.<br><p>Two\n  {i} <i>in</i>line &copy; it</p>{more}</{close}><footer>foot {i}</footer></body></html>'
@@ -247,7 +306,7 @@ def best_sum(counts, window):
     first = max(counts)
     sums = {first}
     for x, n in counts.items():
-        for _ in range(min(n - (x == first), packing.COPIES_PER_LENGTH)):
+        for _ in range(n - (x == first)):
             sums |= {s + x for s in sums if s + x <= window}
     return max(sums)
 

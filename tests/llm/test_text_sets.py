@@ -73,6 +73,31 @@ def test_near_duplicates_of_nothing(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True)]
 
 
+def test_rows_without_an_id(spark):
+    rows = [(5, prose(1, 30)), (None, prose(1, 30)), (None, prose(2, 30)), (None, prose(2, 30)), (None, None), (6, prose(1, 30))]
+    got = [tuple(r) for r in neardup.near_duplicates(documents(spark, rows), 4, 80).collect()]
+    assert sorted(got, key=str) == sorted([(5, 27, 5, True), (None, 27, 5, False), (None, 27, None, True), (None, 27, None, True), (None, 0, None, True), (6, 27, 5, False)], key=str)
+
+
+@pytest.mark.parametrize("outside", [1, 40])
+def test_cells_grow_with_the_members_outside_the_largest_component(spark, monkeypatch, outside):
+    """All pairs of unlike labels meet in just one cell; members of the largest component do not meet each other."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rows = [(1, i, 0 if i < 1000 else i) for i in range(1000 + outside)]
+    members = spark.createDataFrame(rows, "band bigint, id bigint, label bigint")
+    grid = neardup._grid(members, members.select("band").distinct()).collect()
+    rest = -(-outside // 16)
+    assert len(grid) == 1000 * rest + outside * (rest + 63)
+    cells = {}
+    for r in grid:
+        cells.setdefault((r.i, r.j), []).append(r)
+    met = Counter()
+    for (i, j), own in cells.items():
+        for n, a in enumerate(own):
+            met.update(tuple(sorted((a.id, b.id))) for b in own[:n] if a.label != b.label and (i == j or a.block != b.block))
+    assert set(met.values()) == {1} and len(met) == 1000 * outside + outside * (outside - 1) // 2
+
+
 def test_signature_estimate():
     r = np.random.default_rng(0)
     a = r.integers(0, 1 << 63, (50, 8), dtype=np.uint64)
