@@ -1,8 +1,11 @@
 """Toxicity, main text, nearest neighbours and packing against plain versions."""
 
 import random
+import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -159,12 +162,122 @@ def test_odd_markup(source, want):
 
 
 def test_equivalence_classes_need_one_order():
-    pages = [html.parse(page(i)) for i in range(4)]
-    root, nested = html.template(pages, html.equivalence_classes(pages))
-    assert "html/body/article." in root and root.index("html/body/nav.") < root.index("html/body/article.") < root.index("html/body/footer.")
-    swapped = [html.parse("<a1></a1><b1></b1>"), html.parse("<b1></b1><a1></a1>")]
-    for c in html.equivalence_classes(swapped):
-        assert not {"a1.", "b1."} <= set(c)
+    known = html.Words()
+    pages = [html.parse(page(i), known) for i in range(4)]
+    made = html.deduce([p.tokens for p in pages])
+    tags = [tag for _, _, tag in html.elements(made, known)]
+    assert tags.index("nav") < tags.index("article") < tags.index("footer")
+    swapped = [html.parse("<a1></a1><b1></b1>", known), html.parse("<b1></b1><a1></a1>", known)]
+    for c in html.equivalence_classes([p.tokens for p in swapped]):
+        assert len({known["<", known["p", -1, t], frozenset()] for t in ("a1", "b1")} & set(c)) < 2
+
+
+def plain(source):
+    """The page without tags and attributes that tell what is what."""
+    source = re.sub(r"<(/?)(?:article|nav|header|footer|aside|main)\b", r"<\1div", source)
+    return re.sub(r'\s(?:class|id|role)="[^"]*"', "", source)
+
+
+def test_roles_tell_like_tags_apart():
+    """Four elements of one path are four elements of the template; nested classes have a slot."""
+    known = html.Words()
+    pages = [html.parse(plain(page(i, more="<p>x</p>" * i)), known) for i in range(6)]
+    made = html.deduce([p.tokens for p in pages])
+    assert [t for _, _, t in html.elements(made, known)].count("div") == 4
+    name = {n: k for k, n in known.items()}
+    assert {name[made.token[r]][0] for r in made.nested} == {"<", "="} and len(set(made.nested.values())) == 1
+
+
+def sentences(seed, n):
+    r = random.Random(seed)
+    return ["".join(prose(r.randrange(10**6), r.randint(8, 30))) for _ in range(n)]
+
+
+def test_the_template_finds_the_text_without_names():
+    pages = [page(i, more="".join(f"<p>{t}</p>" for t in sentences(i, 2 + i % 4))) for i in range(8)]
+    assert html.extract_group([plain(x) for x in pages]) == html.extract_group(pages)
+    # alone, such a page keeps its menu, advert and footer
+    assert [html.extract_group([plain(x)]) for x in pages[:1]] != [html.extract_group(pages[:1])]
+
+
+def test_driver_pages_without_names_have_the_same_text(spark, data):
+    hosts = {}
+    for r in spark.read.parquet(f"{data}/pages.parquet").orderBy("page_id").collect():
+        hosts.setdefault(r.url.split("/")[2], []).append(r.html)
+    for pages in (p[:48] for p in hosts.values() if len(p) > 2):
+        assert html.extract_group([plain(x) for x in pages]) == html.extract_group(pages)
+
+
+def test_the_template_decides_against_an_even_look():
+    """A varying box beside the text goes, a heading before it stays."""
+    shape = "<body><div><span>Box {i} says {w}</span></div><h1>Head {i}</h1><div><p>{a}</p><p>{b}</p></div><div>Foot {i}</div></body>"
+    texts = [sentences(50 + i, 2) for i in range(6)]
+    got = html.extract_group([shape.format(i=i, w=i * 7, a=a, b=b) for i, (a, b) in enumerate(texts)])
+    assert got == [f"Head {i}\n{a}\n{b}" for i, (a, b) in enumerate(texts)]
+
+
+def test_words_of_nested_classes_go_with_their_element():
+    """A box that each record of an article repeats is no text of its own, though it has no telling name."""
+    record = '<p>{t}</p><div class="z3">Mark this</div>'
+    pages = [page(i, more="".join(record.format(t=t) for t in sentences(i, 1 + i % 3))) for i in range(6)]
+    assert html.extract_group(pages) == [f"Head {i}\nOne & {i}.\nTwo {i} inline © it\n" + "\n".join(sentences(i, 1 + i % 3)) for i in range(6)]
+
+
+@pytest.mark.parametrize(
+    ("inner", "stays"),
+    [
+        ('<p class="reply">said {i}</p>', True), ('<div class="share-price"><p>cost {i}</p></div>', True), ('<div class="comment-list"><p>c {i}</p></div>', False),
+        ('<div class="site-header">h {i}</div>', False), ('<section id="comments">c {i}</section>', False), ('<span class="ad">n {i}</span>', True),
+    ],
+)
+def test_names_of_text_and_of_furniture(inner, stays):
+    own = re.sub("<[^>]*>", "", inner)
+    for group in (1, 6):
+        got = html.extract_group([page(i, 'div class="post"', more=inner.format(i=i)) for i in range(group)])
+        assert [t.endswith("\n" + own.format(i=i)) for i, t in enumerate(got)] == [stays] * group
+
+
+def test_deep_and_long_pages_take_linear_time():
+    for deep in ("<div>" * 10_000, "<p><object>" + "<div>" * 10_000, "<li>" * 10_000, "<b><td>" * 5000, "</x><div class=a>" * 5000 + "</div>" * 5000, "<ul><li>" * 5000):
+        began = time.process_time()
+        assert html.extract_group([deep + "end", deep + "fin"]) == ["end", "fin"]
+        assert time.process_time() - began < 4
+    text = "word " * 400_000
+    assert html.extract_group([f"<p>{text}</p>"]) == [text.strip()]
+
+
+class Plain(HTMLParser):
+    """Main text by the standard library's parser: what stands inside an article and not inside furniture."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.skip, self.blocks = 0, 0, [[]]
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.skip += tag in ("script", "style", "nav", "footer", "aside", "form")
+        if tag in html.BLOCKS:
+            self.blocks.append([])
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.skip -= tag in ("script", "style", "nav", "footer", "aside", "form")
+        if tag in html.BLOCKS:
+            self.blocks.append([])
+
+    def handle_data(self, data):
+        if self.depth and not self.skip:
+            self.blocks[-1].append(data)
+
+
+def test_driver_pages_against_another_parser(spark, data):
+    rows = spark.read.parquet(f"{data}/pages.parquet").collect()
+    got = {r.page_id: r.text for r in html.op3_html_extraction(spark, data).collect()}
+    for r in rows:
+        p = Plain()
+        p.feed(r.html)
+        p.close()
+        assert got[r.page_id] == "\n".join(t for t in (" ".join("".join(b).split()) for b in p.blocks) if t)
 
 
 def test_elements_of_the_template_inside_an_article_go():
@@ -183,7 +296,8 @@ def test_named_elements_of_an_article_stay_if_they_vary_or_are_copies():
 
 
 def test_long_texts_with_one_opening_are_different_tokens():
-    a, b, c = (html.parse(f"<p>{'one opening ' * 30}{end}</p>").tokens[1] for end in ("x", "y", "x"))
+    known = html.Words()
+    a, b, c = (html.parse(f"<p>{'one opening ' * 30}{end}</p>", known).tokens[1] for end in ("x", "y", "x"))
     assert a == c != b
     more = '<div class="zq7"><p>' + "one opening " * 30 + "{i}</p></div>"
     got = html.extract_group([page(i, more=more.format(i=i)) for i in range(6)])
