@@ -1,4 +1,4 @@
-"""Removal of byte strings that occur again, by blockwise suffix sorting (operator 5).
+"""Removal of byte strings that occur again: difference-cover sample, then suffix fingerprints sorted bucket by bucket (operator 5).
 
 A byte goes if a string of ``LENGTH`` bytes that covers it starts anywhere else too. So suffixes need to be told
 apart only up to that length, which is what the difference cover makes cheap in memory and traffic:
@@ -12,16 +12,18 @@ apart only up to that length, which is what the difference cover makes cheap in
    The rest are dealt to buckets by the leading bits of a fingerprint of their LENGTH bytes.
 3. *Buckets* are sorted one at a time, each of bounded size; neighbours that agree are repeats.
 
-The order of suffixes is that of fingerprints rather than of bytes: nothing but equality is asked for, and
-comparing bytes would ship LENGTH of them per suffix instead of 8. Fingerprints have 64 bits and, independent of
-them, those of the bucket.
+This is not a suffix array: the order of suffixes is that of fingerprints rather than of bytes. Nothing but equality is asked for, and
+comparing bytes would ship some hundred of them per suffix instead of 8. Fingerprints have 64 bits and, independent of
+them, those of the bucket; equal ones are taken for equal strings without a look at the bytes, so among n suffixes that are sent
+some n * n / 2 ** (65 + bits of the bucket) pairs are equal by chance: 3e-6 at 158 million suffixes in 256 buckets.
 
 Texts travel in chunks of some megabytes; a chunk sends each distinct key of a bucket once, however
-often it holds it, so that a passage shared by a third of all rows adds one key per chunk.
+often it holds it, so that a passage shared by a third of all rows adds one key per chunk. Numbers of chunks and buckets, and of the
+partitions that they are dealt to, follow from the bytes of the texts.
 
 Cases: a null text is empty; texts under LENGTH bytes are kept whole; overlaps count, also of a string
-with itself one byte on (runs); repeated rows remove each other; an empty table gives no rows; extra
-columns are ignored.
+with itself one byte on (runs); repeated rows remove each other, and stand in one chunk; a text longer than a chunk is a chunk of its own, of
+which a task holds some 40 times the bytes; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ PERIOD = 183
 COVER = (0, 1, 3, 16, 23, 28, 42, 76, 82, 86, 119, 137, 154, 175)
 CHUNK_BYTES = 4 << 20
 BUCKET_KEYS = 1 << 20
+MOST_PARTITIONS = 20_000
 
 _U = np.uint64
 _BLANK = np.zeros(0, np.int64)
@@ -212,12 +215,16 @@ def _bits(keys: float) -> int:
     return max(0, math.ceil(math.log2(max(keys, 1) / BUCKET_KEYS)))
 
 
+def _dealt(sent: DataFrame, bits: int) -> DataFrame:
+    return sent.repartition(min(1 << bits, MOST_PARTITIONS), "bucket")
+
+
 def repeated_substrings(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``; ``removed`` lists start, end, start, end, ... in bytes."""
     raw = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     total = raw.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, math.ceil(total / CHUNK_BYTES))
-    dealt = raw.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).repartition(min(chunks, 20_000), "chunk")
+    dealt = raw.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition(min(chunks, MOST_PARTITIONS), "chunk")
     few = _bits(total * len(COVER) / PERIOD)
 
     def sample(key, pdf):
@@ -225,7 +232,7 @@ def repeated_substrings(docs: DataFrame) -> DataFrame:
         return _sent(key[0], buf, sample_positions(offs, LENGTH, PERIOD, COVER), LENGTH - PERIOD + 1, few, False)
 
     sent = dealt.groupBy("chunk").applyInPandas(sample, "bucket bigint, chunk bigint, keys binary")
-    ranks = sent.groupBy("bucket").applyInPandas(lambda pdf: _sort_bucket(pdf, False), "to bigint, bucket bigint, bits binary")
+    ranks = _dealt(sent, few).groupBy("bucket").applyInPandas(lambda pdf: _sort_bucket(pdf, False), "to bigint, bucket bigint, bits binary")
     alive = dealt.groupBy("chunk").cogroup(ranks.groupBy("to")).applyInPandas(lambda k, p, f: _alive(k, p, f, few), ALIVE)
     alive = materialize(alive)
     many = _bits(alive.agg(F.sum("n")).first()[0] or 0)
@@ -236,7 +243,7 @@ def repeated_substrings(docs: DataFrame) -> DataFrame:
                 yield _sent(row.chunk, np.frombuffer(row.text, np.uint8), _positions(row), LENGTH, many, True)
 
     sent = alive.where("n > 0").select("chunk", "text", "starts", "ends").mapInPandas(suffixes, "bucket bigint, chunk bigint, keys binary")
-    marks = sent.groupBy("bucket").applyInPandas(lambda pdf: _sort_bucket(pdf, True), "to bigint, bucket bigint, bits binary")
+    marks = _dealt(sent, many).groupBy("bucket").applyInPandas(lambda pdf: _sort_bucket(pdf, True), "to bigint, bucket bigint, bits binary")
     return alive.groupBy("chunk").cogroup(marks.groupBy("to")).applyInPandas(lambda k, p, f: _finish(k, p, f, many), RESULT)
 
 
