@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Paths of the tables written since each open scope began.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables written meanwhile are deleted at the end, but for those whose paths are taken off the list that this gives.
+
+    For steps that end with their result on disk: nothing that is still to run may read these tables.
+    """
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield own
+    finally:
+        _scopes[:] = [s for s in _scopes if s is not own]
+        jvm = spark.sparkContext._jvm
+        for path in own:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared scratch folder and read it back.
 
@@ -33,4 +57,6 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for scope in _scopes:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)

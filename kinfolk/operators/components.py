@@ -89,7 +89,7 @@ def contracted_labels(edges: DataFrame) -> DataFrame:
     """As ``star_labels``, for few edges: partitions contract theirs to forests, one task contracts these."""
     e = edges.where("src <> dst").select(F.col("src").cast("bigint").alias("u"), F.col("dst").cast("bigint").alias("v"))
     schema = "u bigint, v bigint"
-    out = e.mapInPandas(_contract, schema).coalesce(1).mapInPandas(_contract, schema)
+    out = e.mapInPandas(_contract, schema).repartition(1).mapInPandas(_contract, schema)  # coalesce would make one task of both
     return out.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
 
 

@@ -9,6 +9,7 @@ that leaves too few block pairs to occupy all cores. ``expr`` is the same join i
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from kinfolk.functions.vectors import as_double, dot, normalise
 BLOCK = 8192
 #: Rows of a block below which splitting it further costs more than it spreads.
 SMALL_BLOCK = 512
-STRIP = 1024
+STRIP = 256
 
 
 def common_dimension(faces: DataFrame) -> int:
@@ -43,25 +44,41 @@ def _unit(v: pd.Series) -> np.ndarray:
     return x / np.where(size == 0, 1, size)
 
 
-def _multiply(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def _multiply(pdf: pd.DataFrame, threshold: float) -> Iterator[pd.DataFrame]:
+    """Pairs of one cell, a frame for each strip of its left block: whatever the threshold, no more than a strip is held."""
     i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
     left = pdf[pdf.block == i]
     right = left if i == j else pdf[pdf.block == j]
     if not len(left) or not len(right):
-        return pd.DataFrame({"src": [], "dst": [], "sim": []})
+        return
     u = _unit(left.embedding)
     v = u if i == j else _unit(right.embedding)
     a, b = left.face_id.values, right.face_id.values
-    found = []
-    for k in range(0, len(a), STRIP):  # strips bound the product in memory
+    for k in range(0, len(a), STRIP):
         sims = u[k : k + STRIP] @ v.T
         hit = sims >= threshold  # false for NaN
         own = a[k : k + STRIP]
         if i == j:
             hit &= own[:, None] < b[None, :]
         r, c = np.nonzero(hit)
-        found.append(pd.DataFrame({"src": np.minimum(own[r], b[c]), "dst": np.maximum(own[r], b[c]), "sim": sims[r, c]}))
-    return pd.concat(found, ignore_index=True)
+        if len(r):
+            yield pd.DataFrame({"src": np.minimum(own[r], b[c]), "dst": np.maximum(own[r], b[c]), "sim": sims[r, c]})
+
+
+def _cells(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """Pairs of all cells, from batches in which the rows of a cell stand together."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        k = pdf[["i", "j"]].to_numpy()
+        edges = np.r_[0, np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1]
+        for x, y in zip(edges[:-1], edges[1:]):
+            yield from _multiply(pdf.iloc[x:y], threshold)
+        rest = pdf.iloc[edges[-1] :]
+    if rest is not None:
+        yield from _multiply(rest, threshold)
 
 
 def block_count(rows: int, cores: int, block: int = BLOCK) -> int:
@@ -83,4 +100,5 @@ def similar_pairs(faces: DataFrame, threshold: float, method: str = "blocked", b
     dealt = f.withColumn("block", F.pmod(F.xxhash64("face_id"), F.lit(blocks)).cast("int"))
     grid = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda q: F.struct(F.least("block", q).alias("i"), F.greatest("block", q).alias("j")))
     dealt = dealt.withColumn("p", F.explode(grid)).select("face_id", "embedding", "block", "p.i", "p.j")
-    return dealt.groupBy("i", "j").applyInPandas(lambda pdf: _multiply(pdf, threshold), "src bigint, dst bigint, sim double")
+    cells = dealt.repartition("i", "j").sortWithinPartitions("i", "j")
+    return cells.mapInPandas(lambda it: _cells(it, threshold), "src bigint, dst bigint, sim double")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kinfolk.functions import geometry, paths
 from kinfolk.functions.codec import decode_floats, encode_floats
+from kinfolk.functions.scratch import materialize
 from kinfolk.functions.vectors import dot, normalise, normalise_clipped
 from kinfolk.operators.components import components
 from kinfolk.operators.persons import best_thumbnails, multi_person_photos, person_photos, person_ranks, persons
@@ -46,7 +47,7 @@ def _edges(f: DataFrame, t: float = THRESHOLD) -> DataFrame:
 
 
 def _components(f: DataFrame) -> DataFrame:
-    return components(f, _edges(f))
+    return materialize(components(f, _edges(f)))  # read by several parts of most queries
 
 
 def normalize_vectors(f: DataFrame) -> DataFrame:  # MAP7, MAP8
@@ -117,26 +118,22 @@ def run_totals(f: DataFrame) -> DataFrame:  # AGG6, S14
 
 
 def file_errors(f: DataFrame) -> DataFrame:  # MAP6, AGG7, SORT3, Q-UI4
-    return R.error_list(_report(f))
-
-
-def _report(f: DataFrame) -> DataFrame:
-    at = datetime(2026, 1, 1)
-    return R.build_report(
-        _images(f), f, persons(f, _components(f)), _errors(f), started_at=at, finished_at=at, input_dir="in", output_dir="out", threshold=THRESHOLD
-    )
+    return R.error_list(_errors(f))
 
 
 def report_stats(f: DataFrame) -> DataFrame:  # Q-UI1
-    return R.stats(_report(f))
+    at = datetime(2026, 1, 1)
+    people = person_ranks(_components(f))
+    report = R.build_report(_images(f), f, people, _errors(f), started_at=at, finished_at=at, input_dir="in", output_dir="out", threshold=THRESHOLD)
+    return R.stats(report)
 
 
 def report_cards(f: DataFrame) -> DataFrame:  # Q-UI2
-    return R.person_cards(_report(f))
+    return R.person_cards(persons(f, _components(f)))
 
 
 def report_detail(f: DataFrame) -> DataFrame:  # Q-UI3
-    return R.person_detail(_report(f), 0).select(F.col("photo_index").cast("bigint").alias("photo_index"), "photo")
+    return R.person_detail(persons(f, _components(f)), 0).select(F.col("photo_index").cast("bigint").alias("photo_index"), "photo")
 
 
 def image_ext_filter(f: DataFrame) -> DataFrame:  # SRC2, SORT2

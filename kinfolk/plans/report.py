@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfolk.functions.duration import duration_text
+from kinfolk.functions.ranking import with_position
 
 
 def error_table(errors: DataFrame) -> DataFrame:
@@ -26,47 +27,44 @@ def build_report(
     images: DataFrame, faces: DataFrame, persons: DataFrame, errors: DataFrame, *,
     started_at: datetime, finished_at: datetime, input_dir: str, output_dir: str, threshold: float, gpu: bool = False,
 ) -> DataFrame:
-    """The one-row report. Persons are in order; without any, the list is empty."""
-    if "description" not in persons.columns:
-        persons = persons.withColumn("description", F.lit(""))
-    fields = F.struct("id", "photo_count", "face_count", "thumbnail", "description", "photos")
-    people = persons.agg(F.array_sort(F.collect_list(fields)).alias("persons"))
-    listed = F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "error"))))
-    table = error_table(errors).agg(listed.alias("file_errors"))
-    return (
-        totals(images, faces, persons, errors)
-        .crossJoin(table)
-        .crossJoin(people)
-        .select(
-            F.lit(started_at).cast("timestamp").alias("started_at"), F.lit(finished_at).cast("timestamp").alias("finished_at"),
-            F.lit(duration_text(finished_at - started_at)).alias("duration"),
-            F.lit(input_dir).alias("input_dir"), F.lit(output_dir).alias("output_dir"),
-            "total_images", "total_faces", "total_persons", "errors", "file_errors",
-            F.lit(float(threshold)).alias("threshold"), F.lit(gpu).alias("gpu"), "persons",
-        )
+    """The report's one row of counts and settings; persons and errors are tables beside it, of any size."""
+    return totals(images, faces, persons, errors).select(
+        F.lit(started_at).cast("timestamp").alias("started_at"), F.lit(finished_at).cast("timestamp").alias("finished_at"),
+        F.lit(duration_text(finished_at - started_at)).alias("duration"),
+        F.lit(input_dir).alias("input_dir"), F.lit(output_dir).alias("output_dir"),
+        "total_images", "total_faces", "total_persons", "errors", F.lit(float(threshold)).alias("threshold"), F.lit(gpu).alias("gpu"),
     )
 
 
+def saved_persons(report: DataFrame) -> DataFrame:
+    """The persons of a saved report as a table."""
+    return report.select(F.explode("persons").alias("p")).select("p.*")
+
+
+def saved_errors(report: DataFrame) -> DataFrame:
+    """The file errors of a saved report as a table."""
+    return report.select(F.explode("file_errors").alias("path", "error"))
+
+
 def stats(report: DataFrame) -> DataFrame:
     mode = F.when(F.col("gpu"), "GPU").otherwise("CPU")
     return report.select("total_images", "total_faces", "total_persons", "errors", "duration", mode.alias("mode"))
 
 
-def person_cards(report: DataFrame) -> DataFrame:
-    """One row per person in report order, ``position`` from 0."""
-    return report.select(F.posexplode("persons").alias("position", "p")).select(
-        F.col("position").cast("bigint").alias("position"), F.concat(F.lit("Person "), F.col("p.id").cast("string")).alias("name"),
-        F.col("p.thumbnail").alias("thumbnail"), F.col("p.photo_count").alias("photo_count"), F.col("p.face_count").alias("face_count"),
-        F.coalesce("p.description", F.lit("")).alias("description"),
+def person_cards(persons: DataFrame) -> DataFrame:
+    """One row per person; ``position`` is the place in the report, from 0."""
+    told = F.col("description") if "description" in persons.columns else F.lit(None).cast("string")
+    return persons.select(
+        (F.col("id") - 1).alias("position"), F.concat(F.lit("Person "), F.col("id").cast("string")).alias("name"),
+        "thumbnail", "photo_count", "face_count", F.coalesce(told, F.lit("")).alias("description"),
     )
 
 
-def person_detail(report: DataFrame, position: int) -> DataFrame:
+def person_detail(persons: DataFrame, position: int) -> DataFrame:
     """Photos of the person at a place of the list, numbered from 0."""
-    return report.select(F.get("persons", F.lit(position)).alias("p")).select(F.posexplode("p.photos").alias("photo_index", "photo"))
+    return persons.where(F.col("id") == position + 1).select(F.posexplode("photos").alias("photo_index", "photo"))
 
 
-def error_list(report: DataFrame) -> DataFrame:
-    """``number, path, error`` in order of paths."""
-    entries = F.array_sort(F.map_entries("file_errors"))
-    return report.select(F.posexplode(entries).alias("number", "e")).select((F.col("number") + 1).cast("bigint").alias("number"), F.col("e.key").alias("path"), F.col("e.value").alias("error"))
+def error_list(errors: DataFrame) -> DataFrame:
+    """``number, path, error`` in order of paths, one row a path."""
+    return with_position(error_table(errors), "number", F.asc("path")).select("number", "path", "error")

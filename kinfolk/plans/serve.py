@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import signal
 import threading
 from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import unquote, urlsplit
@@ -68,9 +69,14 @@ def start(folder: str, port: int = 8080, host: str = "127.0.0.1") -> ThreadingHT
 
 
 def serve(folder: str, port: int = 8080, host: str = "127.0.0.1") -> None:
-    """Serve until interrupted."""
-    server = start(folder, port, host)
+    """Serve until interrupted or told to end (SIGINT, SIGTERM)."""
+    server, ended = start(folder, port, host), threading.Event()
+    before = signal.signal(signal.SIGTERM, lambda *_: ended.set())
     try:
-        threading.Event().wait()
+        ended.wait()
     except KeyboardInterrupt:
+        pass
+    finally:
+        signal.signal(signal.SIGTERM, before)
         server.shutdown()
+        server.server_close()

@@ -1,4 +1,4 @@
-"""Results on disk (SNK1-SNK5, SNK7, SNK8). Originals are linked or copied from, never written to."""
+"""Results on disk (SNK1-SNK8). Originals are linked or copied from, never written to."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import shutil
 from contextlib import contextmanager
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfolk.functions.paths import basename
@@ -19,6 +19,7 @@ log = logging.getLogger("kinfolk")
 LOG_FILE = "processing.log"
 REPORT_FILE = "report.json"
 THUMBNAIL_FILE = "thumb.jpg"
+THUMBNAIL_FOLDER = ".thumbnails"
 
 
 def clean_output(folder: str) -> None:
@@ -89,17 +90,42 @@ def link_photos(links: DataFrame, folder: str) -> list[str]:
     return failed
 
 
+def reset_thumbnails(folder: str) -> str:
+    """An empty folder for the thumbnails of a run; those of an earlier run go."""
+    path = os.path.join(folder, THUMBNAIL_FOLDER)
+    shutil.rmtree(path, ignore_errors=True)
+    os.makedirs(path)
+    return path
+
+
 def copy_thumbnail(thumbnail: str, folder: str, person_id: int) -> str:
     """Copy a thumbnail beside its person's photos; its reference, or an empty text if that fails."""
     target = os.path.join(folder, f"Person_{person_id}")
     try:
         os.makedirs(target, exist_ok=True)
         shutil.copyfile(thumbnail, os.path.join(target, THUMBNAIL_FILE))
-    except OSError:
+    except OSError as e:
+        log.warning("person %s: no thumbnail: %s", person_id, e)
         return ""
     return f"Person_{person_id}/{THUMBNAIL_FILE}"
 
 
+def copy_thumbnails(persons: DataFrame, folder: str) -> DataFrame:
+    """Copy every person's thumbnail, streaming rows; ``persons`` with references to the copies, empty where that failed."""
+    some = persons.where("thumbnail <> ''").select("id", "thumbnail")
+    failed = [(r.id,) for r in some.toLocalIterator() if not copy_thumbnail(r.thumbnail, folder, r.id)]
+    lost = persons.sparkSession.createDataFrame(failed, "id bigint").withColumn("lost", F.lit(True))
+    reference = F.concat(F.lit("Person_"), F.col("id").cast("string"), F.lit("/" + THUMBNAIL_FILE))
+    own = F.when((F.col("thumbnail") == "") | F.col("lost").isNotNull(), F.lit("")).otherwise(reference)
+    return persons.join(lost, "id", "left").withColumn("thumbnail", own).drop("lost").select(*persons.columns)
+
+
+def copied_thumbnails(spark: SparkSession, folder: str) -> DataFrame:
+    """``thumbnail, content`` of the copies, listed and read by Spark."""
+    files = spark.read.format("binaryFile").load(os.path.join(folder, "Person_*", THUMBNAIL_FILE))
+    return files.select(F.regexp_extract("path", r"(Person_\d+/[^/]*)$", 1).alias("thumbnail"), "content")
+
+
 def _plain(v):
     if hasattr(v, "asDict"):
         v = v.asDict()
@@ -109,14 +135,36 @@ def _plain(v):
     return v.isoformat() if isinstance(v, datetime) else v
 
 
-def save_report(report: DataFrame, folder: str) -> str:
-    """Write the report's one row as indented JSON; empty error tables and descriptions are left out."""
+def _indented(value, by: int) -> str:
+    return json.dumps(value, indent=2, ensure_ascii=False).replace("\n", "\n" + " " * by)
+
+
+PERSON_FIELDS = ("id", "photo_count", "face_count", "thumbnail", "description", "photos")
+REPORT_FIELDS = ("started_at", "finished_at", "duration", "input_dir", "output_dir", "total_images", "total_faces", "total_persons", "errors")
+
+
+def save_report(report: DataFrame, persons: DataFrame, errors: DataFrame, folder: str) -> str:
+    """Write one indented JSON document row by row: no more than a partition of persons or errors is on the driver.
+
+    ``errors`` has one row a path. An empty error table and empty descriptions are left out.
+    """
     row = _plain(report.first())
-    if not row["file_errors"]:
-        del row["file_errors"]
     path = os.path.join(folder, REPORT_FILE)
+    listed = [c for c in PERSON_FIELDS if c in persons.columns]
+    parts = [(f'"{c}": ' + _indented(row[c], 2)) for c in REPORT_FIELDS]
     with open(path, "w") as f:
-        json.dump(row, f, indent=2, ensure_ascii=False, sort_keys=False)
+        f.write("{\n  " + ",\n  ".join(parts))
+        between = ',\n  "file_errors": {\n    '
+        for r in errors.orderBy("path").toLocalIterator():
+            f.write(f"{between}{json.dumps(r.path, ensure_ascii=False)}: {json.dumps(r.error, ensure_ascii=False)}")
+            between = ",\n    "
+        f.write("\n  }" if not between.startswith(',\n  "') else "")
+        f.write(f',\n  "threshold": {json.dumps(row["threshold"])},\n  "gpu": {json.dumps(row["gpu"])},\n  "persons": [')
+        between = "\n    "
+        for r in persons.select(*listed).orderBy("id").toLocalIterator():
+            f.write(between + _indented(_plain(r), 4))
+            between = ",\n    "
+        f.write("]\n}\n" if between == "\n    " else "\n  ]\n}\n")
     return path
 
 

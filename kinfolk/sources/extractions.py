@@ -69,7 +69,7 @@ def parse_extractions(lines: DataFrame, on_bad_record: str = "skip", path_col: s
     if on_bad_record == "error":
         errors = errors.unionByName(skipped.select("path", F.lit("json decode error").alias("error")))
         skipped = skipped.limit(0)
-    return Extracted(faces, errors, skipped.select(F.substring("value", 1, LOGGED_BYTES).alias("value")), p.where(good).select("path"))
+    return Extracted(faces, errors, skipped.select(F.make_valid_utf8(F.substring(F.col("value").cast("binary"), 1, LOGGED_BYTES).cast("string")).alias("value")), p.where(good).select("path"))
 
 
 def read_extractions(spark: SparkSession, path: str, on_bad_record: str = "skip") -> Extracted:

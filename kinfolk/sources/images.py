@@ -1,9 +1,10 @@
-"""Image files (SRC1, SRC2, SRC4, SORT2)."""
+"""Image files (SRC1-SRC4, SORT2)."""
 
 from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,27 @@ def read_images(spark: SparkSession, root: str, content: bool = False) -> DataFr
     return files.where(is_image(F.col("path"))).select("path", *["content"] * content)
 
 
+def one_image(spark: SparkSession, path: str) -> DataFrame:
+    """``path`` of a single image."""
+    return spark.createDataFrame([(os.path.abspath(path),)], schema.IMAGES)
+
+
+def read_listed(images: DataFrame) -> DataFrame:
+    """``path, content`` of listed images, read by the executors from folders that they share; null where a file cannot be read."""
+
+    def read(batches):
+        for pdf in batches:
+            for path in pdf.path:
+                try:
+                    with open(path, "rb") as f:
+                        content = f.read()
+                except OSError:
+                    content = None
+                yield pd.DataFrame({"path": [path], "content": [content]})
+
+    return images.select("path").mapInPandas(read, "path string, content binary")
+
+
 def read_path_list(spark: SparkSession, path: str) -> DataFrame:
     """``path`` from a text file of one path a line; blanks around are cut and empty lines skipped."""
     return spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")

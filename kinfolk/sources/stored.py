@@ -25,12 +25,17 @@ def load_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.REPORT).option("multiLine", True).json(path)
 
 
-def load_settings(path: str, section: str = "chat") -> ChatSettings | None:
-    """Settings of the description service; None, with a warning, if they cannot be read."""
+def load_settings(path: str, section: str | None = None) -> ChatSettings | None:
+    """Settings of the description service: a section by name, or the first that names an endpoint and a model.
+
+    None, with a warning, if they cannot be read.
+    """
     try:
         with open(path) as f:
-            s = json.load(f)[section]
+            every = json.load(f)
+        fitting = (v for v in every.values() if isinstance(v, dict) and {"endpoint", "model"} <= v.keys())
+        s = every[section] if section else next(fitting, {})
         return ChatSettings(s["endpoint"], s["model"], int(s.get("max_tokens") or 200))
-    except (OSError, ValueError, KeyError, TypeError) as e:
+    except (OSError, ValueError, KeyError, TypeError, AttributeError) as e:
         log.warning("%s: no settings: %s", path, e)
         return None

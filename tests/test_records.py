@@ -1,10 +1,13 @@
 import base64
 import json
 import os
+import signal
 import struct
+import threading
 from datetime import timedelta
 from urllib import error, request
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,13 +15,14 @@ from kinfolk import schema, sinks
 from kinfolk.functions import geometry, paths
 from kinfolk.functions.codec import decode_floats, encode_floats
 from kinfolk.functions.duration import duration_text
+from kinfolk.functions.scratch import scratch_dir
 from kinfolk.operators.describe import describe
-from kinfolk.operators.extract import extract, faces_and_errors
+from kinfolk.operators.extract import Stages, extract, faces_and_errors, staged
 from kinfolk.plans import report as R
 from kinfolk.plans.run import main, run_images, run_records
-from kinfolk.plans.serve import start
+from kinfolk.plans.serve import serve, start
 from kinfolk.sources.extractions import parse_extractions, read_documents
-from kinfolk.sources.images import read_images, read_path_list, scan_images
+from kinfolk.sources.images import one_image, read_images, read_listed, read_path_list, scan_images
 from kinfolk.sources.stored import load_report, load_settings
 from tests.conftest import rows
 
@@ -163,9 +167,10 @@ def test_whole_run(spark, tmp_path, capsys):
     assert len(links) == 3 and all(os.path.islink(out / "Person_1" / n) for n in links)
     assert (src / "a/x.jpg").read_bytes() == b"a/x.jpg"
     saved = load_report(spark, str(out / sinks.REPORT_FILE))
-    assert rows(R.error_list(saved)) == [(1, str(src / "c.jpg"), "cannot read image: c")]
-    assert R.person_cards(saved).count() == 2 and R.person_detail(saved, 0).count() == 3
-    assert R.person_detail(saved, 9).count() == 0
+    assert rows(R.error_list(R.saved_errors(saved))) == [(1, str(src / "c.jpg"), "cannot read image: c")]
+    people = R.saved_persons(saved)
+    assert R.person_cards(people).count() == 2 and R.person_detail(people, 0).count() == 3
+    assert R.person_detail(people, 9).count() == 0
     (out / "keep.txt").write_text("mine")
     sinks.clean_output(str(out))
     assert sorted(os.listdir(out)) == ["keep.txt", "manifest", "processing.log"]
@@ -202,6 +207,91 @@ def test_settings(tmp_path):
     (tmp_path / "c.json").write_text('{"chat": {"endpoint": "http://x", "model": "m", "max_tokens": 0}}')
     assert load_settings(str(tmp_path / "c.json")).max_tokens == 200
     assert load_settings(str(tmp_path / "none.json")) is None
+    (tmp_path / "d.json").write_text('{"other": {"x": 1}, "any_name": {"endpoint": "http://x", "model": "m", "max_tokens": 7}}')
+    assert load_settings(str(tmp_path / "d.json")).max_tokens == 7 and load_settings(str(tmp_path / "d.json"), "other") is None
+    (tmp_path / "e.json").write_text("[]")
+    assert load_settings(str(tmp_path / "e.json")) is None
+
+
+def test_a_run_copies_thumbnails_and_deletes_its_scratch(spark, tmp_path):
+    out = tmp_path / "out"
+    for n in (1, 2):
+        (tmp_path / f"t{n}.jpg").write_bytes(b"%d" % n)
+    face = lambda thumb, *v: {"bbox": [0, 0, 1, 1], "embedding": b64(*v), "det_score": 0.9, "thumbnail": thumb}
+    thumbs = [str(tmp_path / "t1.jpg"), str(tmp_path / "t2.jpg"), str(tmp_path / "lost.jpg"), ""]
+    lines = [line(file=f"/p/{i}.jpg", faces=[face(t, *[float(i == k) for k in range(4)])]) for i, t in enumerate(thumbs)]
+    (tmp_path / "r.jsonl").write_text("\n".join([*lines, line(file="/p/e.jpg", error="bad"), line(file="/p/e.jpg", error="worse")]))
+    images = spark.createDataFrame([(f"/p/{i}.jpg",) for i in range(5)], schema.IMAGES)
+    before = set(os.listdir(scratch_dir(spark).removeprefix("file:")))
+    report = run_records(spark, images, str(tmp_path / "r.jsonl"), str(out), describer=lambda image: f"person on {image.decode()}")
+    assert set(os.listdir(scratch_dir(spark).removeprefix("file:"))) == before
+    assert (report.first().errors, report.first().total_persons) == (2, 4)
+    saved = json.loads((out / sinks.REPORT_FILE).read_text())
+    assert [(p["thumbnail"], p.get("description")) for p in saved["persons"]] == [("Person_1/thumb.jpg", "person on 1"), ("Person_2/thumb.jpg", "person on 2"), ("", None), ("", None)]
+    assert saved["file_errors"] == {"/p/e.jpg": "worse"} and list(saved)[-1] == "persons"
+    assert (out / "Person_2/thumb.jpg").read_bytes() == b"2"
+    assert json.dumps(saved, indent=2, ensure_ascii=False).strip() == (out / sinks.REPORT_FILE).read_text().strip()
+
+
+def test_thumbnail_folder_starts_empty(tmp_path):
+    at = sinks.reset_thumbnails(str(tmp_path))
+    open(os.path.join(at, "x"), "w").close()
+    assert os.listdir(sinks.reset_thumbnails(str(tmp_path))) == []
+
+
+class Steps:
+    """Images are texts; faces are their words, recognised together."""
+
+    calls: list = []
+
+    def __init__(self, together=True):
+        self.together = together
+
+    def __call__(self):
+        def recognise(aligned):
+            Steps.calls.append(len(aligned))
+            return np.array([[len(w), 0.0] if w != "nil" else [0.0, 0.0] for w in aligned])
+
+        return Stages(
+            load=lambda path, content: None if content is None else content.decode().split(), detect=lambda words: [([0, 0, 1, 1], 0.5, w) for w in words],
+            recognise=recognise if self.together else None, embed=lambda w: [0.0, len(w)], thumbnail=lambda image, box, path, i: f"{path}_{i}", providers=("cpu",),
+        )
+
+
+def test_faces_of_several_images_are_recognised_at_once():
+    images = [("a", b"x yy"), ("b", b""), ("c", None), ("d", b"z nil w"), ("e", b"q"), ("f", b"r s t u")]
+    for together, calls in ((True, [5, 5]), (False, [])):
+        Steps.calls.clear()
+        got = staged(Steps(together), 4)()(images)
+        assert Steps.calls == calls
+        assert got[1] == [] and got[2] == "cannot read image: c"
+        assert [[f["thumbnail"] for f in r] for r in (got[0], got[3], got[5])] == [["a_0", "a_1"], ["d_0", "d_1", "d_2"], [f"f_{i}" for i in range(4)]]
+        assert got[0][1]["embedding"] == ([1.0, 0.0] if together else [0.0, 1.0])
+    assert staged(Steps(), 4)()([("d", b"nil")])[0][0]["embedding"] == [0.0, 0.0]
+
+
+def test_the_first_failure_may_end_a_run(spark):
+    images = spark.createDataFrame([("a", b"1"), ("c", b"boom")], "path string, content binary")
+    with pytest.raises(Exception, match="boom"):
+        extract(images, Detector(), fail_fast=True).collect()
+
+
+def test_listed_and_single_images(spark, tmp_path):
+    (tmp_path / "a.jpg").write_bytes(b"1")
+    listed = one_image(spark, str(tmp_path / "a.jpg")).union(spark.createDataFrame([(str(tmp_path / "no.jpg"),)], schema.IMAGES))
+    assert rows(read_listed(listed)) == [(str(tmp_path / "a.jpg"), bytearray(b"1")), (str(tmp_path / "no.jpg"), None)]
+    report = run_images(spark, one_image(spark, str(tmp_path / "a.jpg")), Detector(), str(tmp_path / "out"))
+    assert (report.first().total_images, report.first().total_faces) == (1, 1)
+
+
+def test_skipped_lines_are_cut_by_bytes(spark):
+    got = parse(spark, ["é" * 150, "x" * 300]).skipped.collect()
+    assert sorted(len(r.value.encode()) for r in got) == [200, 200]
+
+
+def test_serving_ends_on_a_signal(tmp_path):
+    threading.Timer(0.5, os.kill, (os.getpid(), signal.SIGTERM)).start()
+    serve(str(tmp_path), 0)
 
 
 def test_thumbnail_copy(tmp_path):
