@@ -38,10 +38,12 @@ from kinfolk.llm.common import give_back, stretches, table
 WINDOW = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a Python worker keeps at hand.
-WORD_CACHE = 400_000
+#: Bytes of words, and of the tables that find them, that a Python worker keeps at hand: some 100,000 words.
+WORD_CACHE = 16 << 20
+#: Bytes of a word's entry besides its letters.
+ENTRY_BYTES = 140
 LONGEST_WORD = 10_000
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 CELL_ROWS = 512
 
 
@@ -89,16 +91,18 @@ class WordTokenizer:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.store, self.sizes = array("H"), array("H")
 
     def _keep(self, word: str, ids: list[int]) -> None:
         self.known[word] = len(self.sizes)
+        self.held += ENTRY_BYTES + 2 * len(word)
         self.sizes.append(len(ids))
         self.store.extend(ids)
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         """Numbers of words in the store; words not seen before are tokenized and added."""
-        if len(self.known) > WORD_CACHE:
+        if self.held > WORD_CACHE:
             self.forget()
         known = self.known
         new = [w for w in words if w not in known]

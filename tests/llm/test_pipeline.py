@@ -1,9 +1,13 @@
 """Every stage on its own input, in order, against plain versions."""
 
 import importlib.util
+import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
+from kinfolk.functions.scratch import scratch_dir
 
 corpus = importlib.import_module("corpus_pipeline") if importlib.util.find_spec("corpus_pipeline") else None
 if corpus is None:
@@ -62,6 +66,32 @@ def test_run_equals_stages(spark, data):
     assert corpus.run(spark, data).count() > 0
 
 
+def test_a_run_deletes_what_it_is_done_with(spark, data):
+    """What is left is the last stage's input and tables."""
+    folder_ = scratch_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder_))
+    out = corpus.run(spark, data)
+    left = set(os.listdir(folder_)) - before
+    assert out.count() > 0 and len(left) == 2
+
+
+NAMES = ["size", "source_size", "target", "taken", "score", "__score", "__part", "__cut", "__row", "__range", "kept", "component_id", "base", "ids", "rank"]
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    rows, labels = labelled(60, 3)
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    path = folder(spark, tmp_path / "t", rows[:1], labels=lab)
+    docs = documents(spark, [*rows, (None, None), (None, prose(1, 20)), (70, "")]).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    docs = docs.withColumns({n: F.concat(F.lit(f"my {n} "), F.col("doc_id").cast("string")) for n in NAMES}).cache()
+    had = {tuple(r[n] for n in ["doc_id", *NAMES]) for r in docs.collect()}
+    for title, stage in corpus.STAGES[:4]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns, title
+        found = out.collect()
+        assert {tuple(r[n] for n in ["doc_id", *NAMES]) for r in found} <= had and len(found) > 30, title
+
+
 def test_stages_on_nothing(spark, tmp_path):
     lab = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     path = folder(spark, tmp_path / "t", [], labels=lab)
