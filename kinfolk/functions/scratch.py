@@ -26,6 +26,8 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Spark's setting that deletes a command's shuffle files at its end.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Paths of the tables written since each open scope began.
 _scopes: list[list[str]] = []
 
@@ -52,11 +54,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared scratch folder and read it back.
 
     The result survives the loss of any executor and carries no lineage, so that expensive steps
-    (tokenizing, hashing whole texts) run once however often their rows are read.
+    (tokenizing, hashing whole texts) run once however often their rows are read. What was shuffled to make it is
+    deleted as soon as it is written, not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
+    before = spark.conf.get(FILE_CLEANUP, "false")
+    spark.conf.set(FILE_CLEANUP, "true")
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(FILE_CLEANUP, before)
     for scope in _scopes:
         scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
