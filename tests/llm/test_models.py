@@ -107,6 +107,30 @@ def test_model_by_plain_loops():
     assert loss(own, model.bias) <= loss(w, b) + 1e-6
 
 
+def test_scores_are_calibrated_on_rows_not_seen():
+    """Slope and shift of a plain logistic regression on log-odds; the order of scores stays that of the model."""
+    r = np.random.default_rng(3)
+    odds = r.normal(0, 3, 400)
+    y = (r.random(400) < 1 / (1 + np.exp(-(0.5 * odds + 1)))).astype(float)
+    slope, shift = toxicity.calibration(odds, y)
+    n = np.array([y.sum(), (1 - y).sum()])
+    target = np.where(y > 0, (n[0] + 1) / (n[0] + 2), 1 / (n[1] + 2))
+    a, b = 1.0, 0.0
+    for _ in range(20_000):
+        g = 1 / (1 + np.exp(-(a * odds + b))) - target
+        a, b = a - 0.1 * (g * odds).mean(), b - 0.1 * g.mean()
+    assert (slope, shift) == (pytest.approx(a, abs=1e-3), pytest.approx(b, abs=1e-3))
+    assert all(np.isfinite(toxicity.calibration(np.array([-3.0, 2.0, 5.0]), np.array([0.0, 1.0, 1.0]))))
+    rows, labels = labelled(90, 8)
+    texts, t = [x for _, x in rows], np.array([x for _, _, x in labels], float)
+    raw, own = toxicity.fit(texts, t), toxicity.fit_calibrated(texts, t)
+    ratio = own.weights[raw.weights != 0] / raw.weights[raw.weights != 0]
+    assert (own.slots == raw.slots).all() and ratio == pytest.approx(ratio[0]) and ratio[0] > 0
+    # a fold that holds all toxic rows leaves a model without any
+    alone = toxicity.fit_calibrated(["a bad one", "fine", "fine", "a bad one", "fine", "good"], np.array([1, 0, 0, 1, 0, 0], float))
+    assert all(np.isfinite(alone.weights)) and np.isfinite(alone.bias)
+
+
 def test_a_repeated_id_and_very_long_texts_are_one_bounded_sample(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 3000)
     rows, labels = labelled(60, 5)
