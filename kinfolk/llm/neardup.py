@@ -45,6 +45,8 @@ BLOCK = 512
 FOLLOWERS = 128
 #: Standard deviation of the estimate at the threshold, times five and a half, is some 0.2.
 MARGIN = 0.2
+#: The query's own shingles and threshold.
+SHINGLE_WORDS, PERCENT = 4, 80
 #: Ids of 8 bytes that are broadcast: 16 MB.
 BROADCAST_IDS = 2_000_000
 
@@ -363,9 +365,50 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _oracle(k: int, percent: int) -> str:
+    """All pairs of classes that share a shingle, counted, and what is reachable over links."""
+    return rf"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, list_sort(list_distinct(CASE
+        WHEN len(w) = 0 THEN []
+        WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' ')) END)) AS shingles
+    FROM texts
+), classes AS (
+    SELECT min(doc_id) AS id, shingles, len(shingles) AS n
+    FROM sets WHERE len(shingles) > 0 AND doc_id IS NOT NULL GROUP BY shingles
+), members AS (
+    SELECT id, n, unnest(shingles) AS shingle FROM classes
+), pairs AS (
+    SELECT a.id AS a, b.id AS b, any_value(a.n) + any_value(b.n) AS total, count(*) AS shared
+    FROM members a JOIN members b ON a.shingle = b.shingle AND a.id < b.id
+    WHERE 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+    GROUP BY a.id, b.id
+), links AS (
+    SELECT a, b FROM pairs WHERE 100 * shared >= {percent} * (total - shared)
+), both_ways AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached(id, other) AS (
+    SELECT id, id FROM classes
+    UNION
+    SELECT r.id, l.b FROM reached r JOIN both_ways l ON l.a = r.other
+), components AS (
+    SELECT c.shingles, min(r.other) AS component_id
+    FROM classes c JOIN reached r ON r.id = c.id GROUP BY c.shingles
+)
+SELECT s.doc_id, len(s.shingles) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id,
+       s.doc_id IS NOT DISTINCT FROM coalesce(c.component_id, s.doc_id) AS kept
+FROM sets s LEFT JOIN components c ON c.shingles = s.shingles
+"""
+
+
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=SHINGLE_WORDS, percent=PERCENT)
 
 
 QUERIES = {"op8_minhash_neardup": op8_minhash_neardup}
-ORACLES: dict = {}
+ORACLES = {"op8_minhash_neardup": _oracle(SHINGLE_WORDS, PERCENT)}

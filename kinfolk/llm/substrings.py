@@ -247,9 +247,40 @@ def repeated_substrings(docs: DataFrame) -> DataFrame:
     return alive.groupBy("chunk").cogroup(marks.groupBy("to")).applyInPandas(lambda k, p, f: _finish(k, p, f, many), RESULT)
 
 
+def _oracle() -> str:
+    """Ranks of the strings of 16, 32, ... bytes at every position from those of half the length; two of the longest make up LENGTH."""
+    step = "SELECT r, p, n, v, {} FROM {} WINDOW w AS (PARTITION BY r ORDER BY p)"
+    parts = {
+        "texts": "SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS bytes FROM documents",
+        "b1": "SELECT r, unnest(range(octet_length(bytes))) AS p, octet_length(bytes) AS n, unnest(regexp_extract_all(hex(bytes), '..')) AS v FROM texts",
+        "b4": step.format("concat(v, lead(v, 1) OVER w, lead(v, 2) OVER w, lead(v, 3) OVER w) AS s", "b1"),
+        "b16": step.format("concat(s, lead(s, 4) OVER w, lead(s, 8) OVER w, lead(s, 12) OVER w) AS s", "b4"),
+        "k16": "SELECT r, p, n, v, dense_rank() OVER (ORDER BY s) AS k FROM b16",
+    }
+    size = 16
+    while size * 2 <= LENGTH:
+        parts[f"s{size * 2}"] = step.format(f"k, lead(k, {size}) OVER w AS k2", f"k{size}")
+        parts[f"k{size * 2}"] = f"SELECT r, p, n, v, dense_rank() OVER (ORDER BY k, k2) AS k FROM s{size * 2}"
+        size *= 2
+    parts["whole"] = step.format(f"k, lead(k, {LENGTH - size}) OVER w AS k2, p + {LENGTH} <= n AS fits", f"k{size}")
+    parts["found"] = "SELECT r, p, v, fits AND count(*) FILTER (fits) OVER (PARTITION BY k, k2) > 1 AS again FROM whole"
+    parts["bytes_gone"] = f"SELECT r, p, v, bool_or(again) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) AS gone FROM found"
+    parts["edges"] = "SELECT r, p, v, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY p), false) AS opens FROM bytes_gone"
+    parts["sums"] = (
+        "SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, "
+        "string_agg(v, '' ORDER BY p) FILTER (NOT gone) AS kept FROM edges GROUP BY r"
+    )
+    listed = ",\n".join(f"{name} AS ({sql})" for name, sql in parts.items())
+    return f"""
+WITH {listed}
+SELECT doc_id, octet_length(bytes) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM texts LEFT JOIN sums USING (r)
+"""
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_substrings(table(spark, sf_dir, "documents")).drop("removed")
 
 
 QUERIES = {"op5_substring_dedup": op5_substring_dedup}
-ORACLES: dict = {}
+ORACLES = {"op5_substring_dedup": _oracle()}

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfolk.llm import neardup, substrings
-from tests.llm.helpers import ODD, WORD, documents, edited, prose
+from tests.llm.helpers import ODD, WORD, documents, edited, folder, prose
+from tests.oracle import assert_same
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -164,3 +165,30 @@ def test_hot_text_sends_one_key_a_chunk():
     buf = np.frombuffer(b"ab" * 4000, np.uint8)
     sent = substrings._sent(1, buf, np.arange(len(buf) - 400), 400, 2, True)
     assert sum(len(k) // 8 for k in sent["keys"]) == 2
+
+
+SQL = {
+    "op5_substring_dedup": (substrings.op5_substring_dedup, substrings.ORACLES),
+    "op8_minhash_neardup": (neardup.op8_minhash_neardup, neardup.ORACLES),
+}
+
+
+@pytest.mark.parametrize("name", SQL)
+def test_driver_tables_equal_sql(spark, data, name):
+    query, oracles = SQL[name]
+    assert_same(spark, query, oracles[name], data)
+
+
+@pytest.mark.parametrize("name", SQL)
+@pytest.mark.parametrize("content", ["odd", "near", "passages", "empty", "unnamed"])
+def test_odd_rows_equal_sql(spark, tmp_path, name, content):
+    shared = prose(7, 90)
+    rows = {
+        "odd": ODD,
+        "near": near_rows(),
+        "passages": [(i, prose(60 + i, 20 + i) + " " + shared + " " + prose(90 + i, 30)) for i in range(12)] + [(50, "ab" * 500), (51, "é" * 399), (52, "x" + "é" * 399)],
+        "empty": [],
+        "unnamed": [(None, shared), (3, shared), (None, prose(8, 90)), (None, None), (4, prose(9, 90))],
+    }[content]
+    query, oracles = SQL[name]
+    assert_same(spark, query, oracles[name], folder(spark, tmp_path / "t", rows))
