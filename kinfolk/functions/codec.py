@@ -17,10 +17,20 @@ def _floats(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else np.frombuffer(b, "<f4").astype("f8"))
 
 
+def _text(numbers) -> str | None:
+    return None if numbers is None else base64.b64encode(np.asarray(numbers, "<f4").tobytes()).decode()
+
+
 @pandas_udf(T.StringType())
 def encode_floats(v: pd.Series) -> pd.Series:
     """Base64 text of an array of numbers in single precision."""
-    return v.map(lambda x: None if x is None else base64.b64encode(np.asarray(x, "<f4").tobytes()).decode())
+    return v.map(_text)
+
+
+@pandas_udf(T.ArrayType(T.StringType()))
+def encode_each(v: pd.Series) -> pd.Series:
+    """Base64 texts of several arrays of numbers."""
+    return v.map(lambda arrays: None if arrays is None else [_text(x) for x in arrays])
 
 
 def float_bytes(text: Column) -> Column:

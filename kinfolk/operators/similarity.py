@@ -3,7 +3,8 @@
 The join is exact, so its work is n * n / 2 inner products whatever the plan. ``blocked`` deals vectors to
 blocks by a hash and multiplies each pair of blocks once, as matrices in double precision. A vector is sent to
 each block pair of its block, so blocks are as large as a task can well hold (some ``BLOCK`` rows), and smaller only where
-that leaves too few block pairs to occupy all cores. ``expr`` is the same join in expressions.
+that leaves too few block pairs to occupy all cores. ``expr`` is the same join in expressions, a nested loop: it is
+there for tests of the other.
 """
 
 from __future__ import annotations

@@ -60,10 +60,6 @@ def similarity_pairs(f: DataFrame) -> DataFrame:  # JOIN1
     return _edges(f).select("src", "dst", F.round("sim", 6).alias("sim"))
 
 
-def similarity_pairs_expr(f: DataFrame) -> DataFrame:  # JOIN1 by expressions
-    return similar_pairs(f, THRESHOLD, "expr").select("src", "dst", F.round("sim", 6).alias("sim"))
-
-
 def threshold_sweep(f: DataFrame) -> DataFrame:  # JOIN1, S1
     levels = F.explode(F.array(*[F.lit(t) for t in SWEEP]))
     low = _edges(f, min(SWEEP)).withColumn("threshold", levels).where("sim >= threshold")
@@ -189,7 +185,7 @@ def _on_faces(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: _on_faces(q)
     for q in (
-        normalize_vectors, similarity_pairs, similarity_pairs_expr, threshold_sweep, face_components, degrees, persons_ranked,
+        normalize_vectors, similarity_pairs, threshold_sweep, face_components, degrees, persons_ranked,
         photos_of_persons, thumbnails_of_persons, person_report, photos_with_many, link_manifest, run_totals, file_errors,
         report_stats, report_cards, report_detail, image_ext_filter, thumb_geometry, thumb_names, decode_embeddings, parse_records,
     )
@@ -216,7 +212,6 @@ ORACLES: dict[str, str] = {
 SELECT face_id, round(e[1] / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS first,
   round(sqrt(list_sum(list_transform(e, lambda x: (x / CASE WHEN n = 0 THEN 1 ELSE n END) ** 2))), 6) AS norm, round(e[2] / greatest(n, 1e-10), 6) AS second FROM g""",
     "similarity_pairs": f"WITH {_F}, {_E} SELECT src, dst, round(sim, 6) AS sim FROM e",
-    "similarity_pairs_expr": f"WITH {_F}, {_E} SELECT src, dst, round(sim, 6) AS sim FROM e",
     "threshold_sweep": f"""WITH {_F}, x AS (SELECT list_cosine_similarity(a.e, b.e) AS sim FROM f a JOIN f b ON a.face_id < b.face_id)
 SELECT t.threshold, count(*) AS edges FROM x JOIN (VALUES {', '.join(f'({t}::DOUBLE)' for t in SWEEP)}) t(threshold) ON sim >= threshold GROUP BY 1""",
     "face_components": f"{_W} SELECT face_id, component_id FROM c",

@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import argparse
-import importlib
-import inspect
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +20,7 @@ from kinfolk.operators.describe import ChatEndpoint, describe
 from kinfolk.operators.extract import extract, faces_and_errors
 from kinfolk.operators.persons import person_photos, persons
 from kinfolk.operators.similarity import similar_pairs, split_by_dimension
+from kinfolk.plans.detect import detector_factory
 from kinfolk.plans.report import build_report, error_table
 from kinfolk.plans.serve import serve
 from kinfolk.sources.extractions import read_extractions
@@ -151,12 +149,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("kinfolk").getOrCreate()
     listed = one_image(spark, a.image) if a.image else read_path_list(spark, a.list) if a.list else None
     if a.detector:
-        module, name = a.detector.split(":")
-        make = getattr(importlib.import_module(module), name)
-        given = {"gpu": a.gpu, "max_dim": a.max_dim}
-        if "thumb_dir" in inspect.signature(make).parameters:
-            given["thumb_dir"] = sinks.reset_thumbnails(a.output)
-        report = run_images(spark, a.input if listed is None else listed, partial(make, **given), a.output, a.threshold, not a.no_links, a.gpu, _describer(a), a.fail_fast)
+        factory = detector_factory(a.detector, a.gpu, a.max_dim, sinks.reset_thumbnails(a.output))
+        report = run_images(spark, a.input if listed is None else listed, factory, a.output, a.threshold, not a.no_links, a.gpu, _describer(a), a.fail_fast)
     else:
         images = scan_images(spark, a.input) if listed is None else listed
         report = run_records(spark, images, a.records, a.output, a.threshold, a.input or "", not a.no_links, _describer(a))

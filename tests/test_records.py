@@ -18,10 +18,11 @@ from kinfolk.functions.duration import duration_text
 from kinfolk.functions.scratch import scratch_dir
 from kinfolk.operators.describe import describe
 from kinfolk.operators.extract import Stages, extract, faces_and_errors, staged
+from kinfolk.plans import detect
 from kinfolk.plans import report as R
 from kinfolk.plans.run import main, run_images, run_records
 from kinfolk.plans.serve import serve, start
-from kinfolk.sources.extractions import parse_extractions, read_documents
+from kinfolk.sources.extractions import parse_extractions, read_documents, read_extractions
 from kinfolk.sources.images import one_image, read_images, read_listed, read_path_list, scan_images
 from kinfolk.sources.stored import load_report, load_settings
 from tests.conftest import rows
@@ -284,6 +285,38 @@ def test_listed_and_single_images(spark, tmp_path):
     assert (report.first().total_images, report.first().total_faces) == (1, 1)
 
 
+def with_settings(gpu, max_dim, thumb_dir=""):
+    def each(batch):
+        return ["cannot read image: " + p if c is None else [dict(bbox=[0.0] * 4, embedding=[max_dim, float(gpu)], det_score=0.5, thumbnail=thumb_dir)] for p, c in batch]
+
+    return each
+
+
+def without_thumbnails(gpu, max_dim):
+    return with_settings(gpu, max_dim)
+
+
+def test_a_detector_by_itself(spark, tmp_path, capsys, monkeypatch):
+    image, listed, to = tmp_path / "a.jpg", tmp_path / "list", tmp_path / "records"
+    image.write_bytes(b"1")
+    listed.write_text(f" {image} \n\n{tmp_path / 'no.jpg'}\n")
+    name = f"{__name__}:with_settings"
+    assert detect.main(["--detector", name]) == 1
+    assert json.loads(capsys.readouterr().out) == {"error": detect.USAGE, "faces": []}
+    assert detect.main([str(image), "--detector", name, "--gpu", "--max-dim", "640", "--thumb-dir", str(tmp_path / "t")]) == 0
+    record = json.loads(capsys.readouterr().out)
+    face = record["faces"][0]
+    assert record["file"] == str(image) and "error" not in record and (tmp_path / "t").is_dir()
+    assert (face["embedding"], face["thumbnail"]) == (b64(640, 1), str(tmp_path / "t"))
+    assert detect.main([str(image), "--list", str(listed), "--records", str(to), "--detector", f"{__name__}:without_thumbnails"]) == 0
+    got = read_extractions(spark, str(to))
+    assert rows(got.faces.select("file_path", "embedding")) == [(str(image), [0.0, 0.0])]
+    assert rows(got.file_errors) == [(str(tmp_path / "no.jpg"), f"cannot read image: {tmp_path / 'no.jpg'}")]
+    monkeypatch.setattr("sys.stdin", iter([f"{image}\n", " \n", f"{image}\n"]))
+    assert detect.main(["--list", "-", "--detector", name]) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 2
+
+
 def test_skipped_lines_are_cut_by_bytes(spark):
     got = parse(spark, ["é" * 150, "x" * 300]).skipped.collect()
     assert sorted(len(r.value.encode()) for r in got) == [200, 200]
