@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinfolk.functions.scratch import materialize
-from kinfolk.llm.common import give_back, stretches, table
+from kinfolk.llm.common import give_back, stretches, table, text_bytes
 
 WINDOW = 4096
 END_ID = 2
@@ -179,11 +179,22 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, window: int, keep_ids: bo
     give_back()
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``BLOCK_BYTES`` of text, so that the ids of a whole batch are never held at once."""
+    for b in batches:
+        _, offs = text_bytes(b.column(1))
+        i, n = 0, b.num_rows
+        while i < n:
+            j = min(n, max(i + 1, int(np.searchsorted(offs, offs[i] + BLOCK_BYTES, "right")) - 1))
+            yield b.slice(i, j - i)
+            i = j
+
+
 def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, keep_ids: bool = True) -> DataFrame:
     """Pieces of every document of ``docs(doc_id, text)``; ``ids`` holds little-endian unsigned 32-bit ids."""
     path = path or vocabulary_path()
     schema = PIECES + (", ids binary" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda it: _cut(it, path, window, keep_ids), schema)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda it: _cut(_small(it), path, window, keep_ids), schema)
 
 
 def best_fill(counts: dict[int, int], window: int) -> dict[int, int]:
