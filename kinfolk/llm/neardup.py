@@ -18,7 +18,8 @@
 Cases: null and wordless texts have an empty set and stay single; repeated rows share a class; a group
 of copies of any size is one class and adds one row; very long texts are hashed whole; an empty table
 gives an empty result; other input columns are ignored. A row without an id cannot stand for others: it takes the
-component of the rows with its set and is not kept if there are any with ids, else its component is null and it is kept.
+component of the rows with its set and is not kept if there are any with ids, else its component is null and it is kept. An id is taken
+to name one text: of rows with one id and different texts, which text is confirmed against others is not defined.
 """
 
 from __future__ import annotations
