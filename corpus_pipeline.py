@@ -4,7 +4,8 @@ Each stage is a function of ``(spark, docs, sf_dir)``; its result is written as
 the next stage's documents. All stages but the last return the columns of ``documents``. A stage works on
 whole texts and on every row that its predecessor kept. In every stage a null or empty text is a text of no words, very long
 texts are worked on whole, repeated rows are rows of their own unless said otherwise, an empty table gives an empty one with the same columns, and
-columns of the input keep their values whatever their names.
+columns of the input keep their values whatever their names. Stages that run Python lower the session's limit on the bytes of rows that go
+to a worker at once (``small_batches``), as whole texts, and ids beside them, would else fill an executor's memory outside its heap.
 
 Some stage results follow no SQL (a trained classifier, MinHash candidates, tokenization), so ``ORACLE_SQL`` is None;
 the tests compare each stage with a plain version on small tables.
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from kinfolk.functions.scratch import materialize, scratch_scope
 from kinfolk.llm import mixing, neardup, packing, secrets, toxicity
-from kinfolk.llm.common import table
+from kinfolk.llm.common import small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document without words scores by the model's bias; without labels of both classes all score alike: the share of toxic ones. Repeated rows share their fate.
     """
+    small_batches(spark)
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -35,6 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     operator has four by its contract. Documents without words stay, as do rows without an id, which nothing can stand for. Rows
     alike in all columns (maps aside, which cannot be compared) count once; rows of one id with different texts are kept or go together.
     """
+    small_batches(spark)
     verdict = materialize(neardup.near_duplicates(docs.select("doc_id", "text"), k=5))
     by_id = verdict.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     dropped = materialize(by_id.where("not kept").select("doc_id"))
@@ -57,6 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their ids, sequence and offset."""
+    small_batches(spark)
     return packing.pack(materialize(packing.pieces(docs)))
 
 

@@ -4,6 +4,7 @@ import importlib.util
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ if corpus is None:
     pytest.skip("no pipeline", allow_module_level=True)
 
 from kinfolk.llm import toxicity  # noqa: E402
+from kinfolk.llm.common import BATCH_BYTES, BATCH_SETTING  # noqa: E402
 from tests.llm.helpers import ODD, documents, edited, folder, prose  # noqa: E402
 from tests.llm.test_models import labelled  # noqa: E402
 from tests.llm.test_text_sets import brute_components  # noqa: E402
@@ -123,3 +125,34 @@ def test_packed_sequences_hold_the_ids(spark):
     for i, parts in pieces.items():
         assert sum((ids for _, ids in sorted(parts)), []) == want[i]
     assert set(pieces) == {2, 3, 4}
+
+
+def batch_bytes(spark):
+    """Bytes of the batches in which 12 MB of rows go to a worker."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    rows = spark.range(6000, numPartitions=1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+    return [r.n for r in rows.mapInArrow(sizes, "n bigint").collect()]
+
+
+@pytest.mark.parametrize("name", ["toxicity", "minhash_neardup", "packing"])
+def test_python_stages_send_small_batches(spark, tmp_path, name):
+    lab = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    path = folder(spark, tmp_path / "t", [(1, prose(1, 20))], labels=lab)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    stage = dict(corpus.STAGES)[name]
+    before = spark.conf.get(BATCH_SETTING)
+    try:
+        spark.conf.unset(BATCH_SETTING)
+        assert max(batch_bytes(spark)) > 11 << 20
+        stage(spark, docs, path)
+        found = batch_bytes(spark)
+        assert max(found) < BATCH_BYTES + 10_000 and sum(found) >= 12_000_000
+        spark.conf.set(BATCH_SETTING, "1m")
+        stage(spark, docs, path)
+        assert spark.conf.get(BATCH_SETTING) == "1m"
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
